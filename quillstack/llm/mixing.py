@@ -114,7 +114,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     live = targets.where("need > 0").select("sid", "source", "source_size", "need")
     words = sizes.where("size > 0")
     rows = words.agg(F.count("*")).first()[0]
-    cells = max(1, rows // 2048)
+    cells = max(1, rows // 256)
     placed = words.join(F.broadcast(live) if live.count() <= 10_000 else live, words["source"].eqNullSafe(live["source"])).select("row_id", "doc_id", "sid", "source_size", "need", "size", "place")
     placed = _running(placed, ["sid"], F.floor(F.col("place") * cells / FINE), ["place", F.col("doc_id").asc_nulls_last(), "row_id"], "size", "at")
     turns = placed.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(most)]))).withColumn("from", F.col("at") + F.col("epoch") * F.col("source_size"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, token_store
+from ..session import workers_import
+from . import exact_dedup, mixing, ngram_join, packing, quality, token_store, toxicity
 
 
 def tokenizer() -> str:
@@ -17,7 +18,7 @@ def tokenizer() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return workers_import(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(token_store.read_digests(spark, store), ["part", "block", "offset"]).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,11 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -64,8 +74,13 @@ WINDOW g AS (PARTITION BY h)
 """
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op2_token_store": op2_token_store, "op5_mix": op5_mix, "op8_exact_dedup": op8_exact_dedup}
+    found = {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
+    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
