@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import workers_import
-from . import exact_dedup, mixing, ngram_join, packing, quality, token_store, toxicity
+from . import exact_dedup, mixing, ngram_join, packing, quality, suffix_dedup, token_store, toxicity
 
 
 def tokenizer() -> str:
@@ -58,6 +58,11 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
