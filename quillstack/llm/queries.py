@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import workers_import
-from . import exact_dedup, mixing, ngram_join, packing, quality, suffix_dedup, token_store, toxicity
+from . import chat_repair, exact_dedup, mixing, ngram_join, packing, quality, sharding, suffix_dedup, token_store, toxicity
 
 
 def tokenizer() -> str:
@@ -37,6 +37,20 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), limit=1 << 20)
+
+
+OP4_SQL = r"""
+WITH a AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes,
+  array_to_string(list_transform(string_split(substr(md5(doc_id::VARCHAR), 1, 15), ''), lambda c: lpad(bin(('0x' || c)::INT), 4, '0')), '') AS bits FROM documents),
+s AS (SELECT d::INT AS depth, substr(bits, 1, d::INT) AS shard, sum(bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM a, range(0, 41) t(d) GROUP BY ALL),
+f AS (SELECT * FROM s WHERE shard_bytes <= 1048576 OR shard_docs = 1)
+SELECT doc_id, bytes AS doc_bytes, shard, depth, shard_bytes, shard_docs FROM a JOIN f ON substr(bits, 1, depth) = shard
+QUALIFY depth = min(depth) OVER (PARTITION BY doc_id)
+"""
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -79,6 +93,10 @@ WINDOW g AS (PARTITION BY h)
 """
 
 
+def op9_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -89,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op4_shard": OP4_SQL, "op5_mix": OP5_SQL, "op8_exact_dedup": OP8_SQL}
