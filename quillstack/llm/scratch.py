@@ -74,3 +74,12 @@ def with_row_key(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, str |
         return docs.withColumn("_rid", F.col(key).cast("long")), None
     out = save(docs.withColumn("_rid", F.monotonically_increasing_id()), "rowkeys")
     return out, out._scratch_path
+
+
+def token() -> str:
+    return uuid.uuid4().hex
+
+
+def paths() -> list[str]:
+    """Of the working tables that are there."""
+    return list(_paths)
