@@ -1 +1 @@
-"""Structured-library analytics on PySpark."""
+"""Query plans over the library's relations."""
