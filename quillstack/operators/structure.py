@@ -42,10 +42,10 @@ def islands(df: DataFrame, group: list[str], order: list[str], key: str) -> Data
 def counted(df: DataFrame, group: list[str], order: list[str], printed: str) -> DataFrame:
     """df with number: the printed one where there is one, else one more than before."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    block = F.count(printed).over(w)
-    at = df.withColumn("_b", block)
+    at = df.withColumn("_b", F.count(printed).over(w))  # 0 before the first printed one
     inner = Window.partitionBy(*group, "_b").orderBy(*order)
-    return at.withColumn("number", F.coalesce(F.first(printed, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) + F.row_number().over(inner) - F.when(F.first(printed).over(inner).isNull(), 0).otherwise(1)).drop("_b")
+    since = F.row_number().over(inner) - F.when(F.col("_b") > 0, 1).otherwise(0)
+    return at.withColumn("number", F.coalesce(F.first(printed).over(inner), F.lit(0)) + since).drop("_b")
 
 
 def neighbours_of(df: DataFrame, group: list[str], order: list[str], kind: Column, text: str) -> DataFrame:
