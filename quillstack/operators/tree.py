@@ -112,4 +112,4 @@ def reorder(siblings: DataFrame, wanted: DataFrame, parent: str = "parent_id") -
     both = listed.join(have, F.col("_p").eqNullSafe(F.col("_q")) & (F.col("_id") == F.col("id")), "full_outer")
     named = both.withColumn("_key", F.coalesce("_p", "_q"))
     good = named.groupBy("_key").agg(F.bool_and(F.col("_id").isNotNull() & F.col("id").isNotNull()).alias("ok"), (F.count("_id") == F.count_distinct("_id")).alias("once")).where("ok and once").select(F.col("_key").alias("_g"))
-    return named.join(good, F.col("_key") == F.col("_g")).select(F.col("_key").alias(parent), F.col("_id").alias("id"), F.col("position").alias("sort_order"))
+    return named.join(good, F.col("_key").eqNullSafe(F.col("_g"))).select(F.col("_key").alias(parent), F.col("_id").alias("id"), F.col("position").alias("sort_order"))
