@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _recursive(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
+    """Recursive SQL without the row limit meant for queries that may never end; trees do."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark.sql(sql, **frames)
+
+
 def first_per_group(df: DataFrame, group: list, order: list) -> DataFrame:
     """The first row of each group: what DISTINCT ON gives, with a total order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where("_rn = 1").drop("_rn")
@@ -18,7 +24,8 @@ def visible_sections(sections: DataFrame, books: DataFrame, editor: bool = False
     """
     if editor:
         return sections
-    ok = sections.sparkSession.sql(
+    ok = _recursive(
+        sections.sparkSession,
         """WITH RECURSIVE walk(id, ok) AS (
              SELECT id, status = 'published' FROM {sections} WHERE parent_id IS NULL
              UNION ALL
@@ -31,7 +38,8 @@ def visible_sections(sections: DataFrame, books: DataFrame, editor: bool = False
 
 def is_visible(sections: DataFrame, books: DataFrame, ids: DataFrame) -> DataFrame:
     """id, visible for asked ids: every section up to the root and the book are published; unknown ids are not."""
-    up = sections.sparkSession.sql(
+    up = _recursive(
+        sections.sparkSession,
         """WITH RECURSIVE up(asked, id, parent_id, ok, book) AS (
              SELECT a.id, s.id, s.parent_id, s.status = 'published', s.book FROM {asked} a JOIN {sections} s ON s.id = a.id
              UNION ALL
@@ -44,7 +52,8 @@ def is_visible(sections: DataFrame, books: DataFrame, ids: DataFrame) -> DataFra
 
 def outline(sections: DataFrame) -> DataFrame:
     """id, depth, path: depth-first reading order is the order of path, the sort orders from the root down."""
-    return sections.sparkSession.sql(
+    return _recursive(
+        sections.sparkSession,
         """WITH RECURSIVE walk(id, depth, path) AS (
              SELECT id, 0, array(sort_order) FROM {sections} WHERE parent_id IS NULL
              UNION ALL
@@ -56,7 +65,8 @@ def outline(sections: DataFrame) -> DataFrame:
 
 def breadcrumbs(sections: DataFrame, ids: DataFrame) -> DataFrame:
     """asked, level, id, title: the ancestors of each asked section and itself, from the root (level 0) down."""
-    up = sections.sparkSession.sql(
+    up = _recursive(
+        sections.sparkSession,
         """WITH RECURSIVE up(asked, id, parent_id, title, lvl) AS (
              SELECT a.id, s.id, s.parent_id, s.title, 0 FROM {asked} a JOIN {sections} s ON s.id = a.id
              UNION ALL
@@ -81,7 +91,8 @@ def effective_parent(shown: DataFrame) -> DataFrame:
 
 def descendants(sections: DataFrame, roots: DataFrame) -> DataFrame:
     """root, id of every section under each root, the root included."""
-    return sections.sparkSession.sql(
+    return _recursive(
+        sections.sparkSession,
         """WITH RECURSIVE down(root, id) AS (
              SELECT s.id, s.id FROM {sections} s JOIN {roots} r ON r.id = s.id
              UNION ALL
