@@ -7,7 +7,7 @@ the same document or another.
    the smallest hash is the window's anchor; equal windows have equal anchors
    in equal places.  A document has an anchor for some 85 windows.
 2. Anchors whose gram occurs once in the corpus are dropped; 30 bytes each are
-   shuffled for that.
+   shuffled for that, after equal contexts near each other have become one.
 3. The others take their context along: the bytes that their windows cover, some
    280.  Grams are dealt to buckets; in a bucket the contexts right of equal
    grams are sorted as suffixes, and the reversed ones left of them too, by
@@ -18,13 +18,10 @@ the same document or another.
    the same left class at o and the same right class at length - o.
 4. Grams with more than ``HOT`` occurrences are not gathered: their windows are
    counted one by one by 128-bit hashes, partial sums first.
-
-Copies of whole texts are found by digest and pass their anchors on once a task.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +36,7 @@ GRAM = 32
 SHALLOW = 16
 BUCKET = 8192
 HOT = 1 << 16
+WINDOW = 1 << 18
 SEGMENT = 1 << 24
 _POS = U((1 << 26) - 1)
 
@@ -81,23 +79,54 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _merged(rid: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans of each rid with overlapping ones put together."""
+    order = np.lexsort((first, rid))
+    rid, first, end = rid[order], first[order], end[order]
+    base = np.cumsum(np.append(0, rid[1:] != rid[:-1])) << 33
+    reach = np.maximum.accumulate(end + base)
+    new = np.append(True, first[1:] + base[1:] > reach[:-1])
+    last = np.append(np.flatnonzero(new)[1:], len(rid)) - 1
+    return rid[new], first[new], (reach - base)[last]
+
+
 def _anchor_rows(length: int):
+    """Anchors (kind 0), and spans (kind 1: place, and right for the length) that repeat within a window of them.
+
+    Of anchors with equal contexts among ``WINDOW`` in a row of a task one goes
+    on and all are repeated bytes already: copies of a text, a passage or a
+    period of a periodic one meet here before any shuffle.
+    """
+
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
+        key, gram, rid, place, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, first, back, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        zero = np.zeros(len(first), np.int32)
+        cols = [zero, gram[first].view(np.int64), rid[first], place[first], left[first], right[first]]
+        often = times[back] > 1
+        if often.any():
+            r, a, z = _merged(rid[often], (place - left)[often], (place + right)[often])
+            more = [np.ones(len(r), np.int32), np.zeros(len(r), np.int64), r, a, np.zeros(len(r), np.int64), z - a]
+            cols = [np.concatenate(x) for x in zip(cols, more, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int32, np.int64, np.int64, np.int32, np.int32, np.int32), strict=True)], ["kind", "gram", "rid", "place", "left", "right"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        held, n = [], 0
         for b in batches:
             for lo, hi, data, offs in text_chunks(b.column(1)):
                 row, place, gram, left, right = anchors(data, offs, length)
-                fresh = np.ones(hi - lo, bool)
-                for i, (a, z) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
-                    digest = hashlib.md5(data[a:z]).digest()
-                    fresh[i] = digest not in seen
-                    seen.add(digest)
-                keep = fresh[row]
-                rid = b.column(0).slice(lo, hi - lo).to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram[keep].view(np.int64)), pa.array(rid[row[keep]]), pa.array(place[keep].astype(np.int32)), pa.array(left[keep].astype(np.int16)), pa.array(right[keep].astype(np.int16))],
-                    ["gram", "rid", "place", "left", "right"],
-                )
+                if not len(row):
+                    continue
+                at = offs[row] + place
+                context = span_hash(prefix_hash(data), at - left, at + right)
+                rid = b.column(0).slice(lo, hi - lo).to_numpy()[row]
+                held.append((mix(gram ^ mix(context + left.astype(np.uint64))), gram, rid, place, left, right))
+                n += len(row)
+                if n >= WINDOW:
+                    yield from flush(held)
+                    held, n = [], 0
+        if held:
+            yield from flush(held)
 
     return run
 
@@ -360,8 +389,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     rows, _ = scratch.with_row_key(docs)
     rows = rows.withColumnRenamed("_rid", "rid")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.select("rid", "text").mapInArrow(_anchor_rows(length), "gram long, rid long, place int, left short, right short")
-    twins = scratch.save(found.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_repeated, found.schema), "anchors")
+    found = scratch.save(rows.select("rid", "text").mapInArrow(_anchor_rows(length), "kind int, gram long, rid long, place int, left int, right int"), "found")
+    dealt = found.where("kind = 0").drop("kind").repartition(parts, "gram").sortWithinPartitions("gram")
+    twins = scratch.save(dealt.mapInArrow(_repeated, dealt.schema), "anchors")
     marks = twins.groupBy("rid").agg(F.collect_list(F.struct("gram", "place", "left", "right")).alias("marks"))
     contexts = rows.select("rid", "text").join(marks, "rid").mapInArrow(_context_rows, "gram long, rid long, place int, before binary, after binary")
     crowd = twins.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot)
@@ -379,8 +409,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     if few:
         spans = spans.unionByName(hot_spans)
     spans = scratch.save(spans, "spans")
-    digests = rows.select("rid", F.sha2("text", 256).alias("d"), F.octet_length("text").alias("n")).where(F.col("n") >= length)
-    copies = digests.groupBy("d").agg(F.count("*").alias("c")).where("c > 1").select("d")
-    whole = digests.join(copies, "d", "left_semi").select("rid", F.lit(0).cast("long").alias("first"), F.col("n").cast("long").alias("end"))
-    each = spans.unionByName(whole).groupBy("rid").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    near = found.where("kind = 1").select("rid", F.col("place").cast("long").alias("first"), (F.col("place") + F.col("right")).cast("long").alias("end"))
+    each = spans.unionByName(near).groupBy("rid").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     return rows.join(each, "rid", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .textscan import LOWER_ASCII, U, prefix_hash, span_hash, text_chunks
 
 #: Labelled rows of each class that the fit sees at most.
-SAMPLE = 6000
+SAMPLE = 4000
 BUCKETS = 1 << 20
 #: Terms that the machine knows at most, and how many standard errors apart a term's shares in the two classes must be.
 TERMS, APART, SEEN = 256, 3.0, 4
@@ -84,19 +84,19 @@ def fit(rows: list[tuple[np.ndarray, int]], rate: float, seed: int = 7, steps: i
     y = np.array([t for _, t in rows], float)
     if not rows or y.min() == y.max():
         return Machine(feature, -40.0 if not rows or not y.max() else 40.0, np.zeros(1), np.zeros((1, 1)))
-    row = np.repeat(np.arange(len(rows)), [len(b) for b, _ in rows])
-    bucket = np.concatenate([b for b, _ in rows]).astype(np.int64)
     n1, n0 = y.sum(), len(y) - y.sum()
-    one = np.bincount(bucket, y[row], BUCKETS)
-    both = np.bincount(bucket, minlength=BUCKETS)
+    one, both = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for b, t in rows:  # a row's buckets are distinct
+        both[b] += 1
+        one[b] += t
     share = both / len(y)
     gap = np.abs(one / n1 - (both - one) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
     gap[both < SEEN] = 0
     best = np.argsort(-gap, kind="stable")[:TERMS]
     best = best[gap[best] > APART]
     feature[best] = np.arange(len(best))
-    term = feature[bucket]
-    row, term = row[term >= 0], term[term >= 0].astype(np.int64)
+    known = [x[x >= 0] for x in (feature[b] for b, _ in rows)]
+    row, term = np.repeat(np.arange(len(rows)), [len(x) for x in known]), np.concatenate(known).astype(np.int64)
     n = max(1, len(best))
     rng = np.random.default_rng(seed)
     theta = np.concatenate([[0.0], np.zeros(n), rng.normal(0, 0.02, n * FACTORS)])
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 parts = np.split(bucket.astype("<i4"), np.searchsorted(row, np.arange(1, hi - lo)))
                 yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in parts], pa.binary()), b.column(1).slice(lo, hi - lo)], ["b", "y"])
 
-    got = sorted((r["y"], bytes(r["b"])) for r in rows.mapInArrow(hashed, "b binary, y int").collect())
+    got = sorted((r["y"], bytes(r["b"])) for r in rows.mapInArrow(hashed, "b binary, y int").toLocalIterator())
     return fit([(np.frombuffer(b, "<i4"), y) for y, b in got], counts.get(1, 0) / max(1, sum(counts.values())))
 
 
