@@ -42,13 +42,27 @@ def term_lines(spark, d):
     return markdown.terms(markdown.blocks(pages)).select(F.col("page_id").alias("p_partkey"), "term", "expansion", "valid")
 
 
+def _contents_lines(part, number):
+    """A contents line for each part, whose printed page is number."""
+    size, page = F.col("p_size"), F.concat(F.lit(" ..... "), number.cast("string"))
+    line = F.when(size % 4 == 0, F.concat(F.lit("- **Chapter "), size.cast("string"), F.lit("** The "), "p_name", page)).when(size % 4 == 1, F.concat(F.lit("Part IV "), "p_name", page)).when(size % 4 == 2, F.concat(F.lit("<b>Preface</b>"), page)).otherwise(F.concat(F.lit("(untitled)"), page))
+    return part.select("p_partkey", "p_size", line.alias("line"))
+
+
 @query(
     """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'chapter' WHEN 1 THEN 'part' WHEN 2 THEN 'matter' END AS kind, CASE WHEN p_size % 4 = 0 THEN p_size END AS number, p_partkey::VARCHAR AS page FROM part WHERE p_partkey < 10000"""
 )
 def contents_entries(spark, d):
-    size, page = F.col("p_size"), F.concat(F.lit(" ..... "), F.col("p_partkey").cast("string"))
-    line = F.when(size % 4 == 0, F.concat(F.lit("- **Chapter "), size.cast("string"), F.lit("** The "), "p_name", page)).when(size % 4 == 1, F.concat(F.lit("Part IV "), "p_name", page)).when(size % 4 == 2, F.concat(F.lit("<b>Preface</b>"), page)).otherwise(F.concat(F.lit("(untitled)"), page))
-    rows = L.table(spark, d, "part").where("p_partkey < 10000").select("p_partkey", "p_size", line.alias("line"))
+    rows = _contents_lines(L.table(spark, d, "part").where("p_partkey < 10000"), F.col("p_partkey"))
+    return contents.entries(rows).select("p_partkey", "kind", "number", "page")
+
+
+@query(
+    """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'chapter' WHEN 1 THEN 'part' WHEN 2 THEN 'matter' END AS kind, CASE WHEN p_size % 4 = 0 THEN p_size END AS number, (p_partkey % 10000)::VARCHAR AS page FROM part"""
+)
+def contents_entries_all(spark, d):
+    """contents_entries over every part; a printed page has four digits at most."""
+    rows = _contents_lines(L.table(spark, d, "part"), F.col("p_partkey") % 10000)
     return contents.entries(rows).select("p_partkey", "kind", "number", "page")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import ranking
 from ..operators import records as R
 from ..operators.tree import first_per_group, visible_sections
 from ..sources import library as L
@@ -46,6 +47,13 @@ def me_annotations(spark, d):
     return _events(spark, d, "click").where("user_id < 20").join(shown, F.expr("event_id % 1000 = section_id")).select("event_id", "user_id", "section_id", F.col("props").alias("note"))
 
 
+@query("SELECT e.event_id, e.user_id, v.id AS section_id, e.props AS note FROM events e JOIN visible v ON v.id = e.event_id % 1000 WHERE e.event_type = 'click'", "sections", "books", "visible")
+def me_annotations_all(spark, d):
+    """me_annotations of every user."""
+    shown = visible_sections(L.sections(spark, d), L.books(spark, d)).select(F.col("id").alias("section_id"))
+    return _events(spark, d, "click").join(shown, F.expr("event_id % 1000 = section_id")).select("event_id", "user_id", "section_id", F.col("props").alias("note"))
+
+
 @query("SELECT e.event_id, c.c_name AS reader, (e.value::INT % 5 + 1)::INT AS rating, e.ts FROM events e JOIN customer c ON c.c_custkey = e.user_id WHERE e.event_type = 'purchase' AND e.value IS NOT NULL ORDER BY e.ts DESC, e.event_id LIMIT 100")
 def reviews(spark, d):
     e = _events(spark, d, "purchase").where("value is not null").join(L.table(spark, d, "customer"), F.expr("c_custkey = user_id"))
@@ -148,6 +156,13 @@ def severity_order(spark, d):
     return _diagnostics(spark, d).where("user_id < 10").select("event_id", "severity", F.row_number().over(Window.orderBy(rank, "event_id")).alias("place"))
 
 
+@query(f"WITH {_DIAG} SELECT event_id, severity, row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, event_id) AS place FROM diag")
+def severity_order_all(spark, d):
+    """severity_order over every user's diagnostics."""
+    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    return ranking.numbered(_diagnostics(spark, d).select("event_id", "severity"), [rank, "event_id"])
+
+
 @query(f"WITH {_DIAG} SELECT event_id, rpad(severity, 7, ' ') || ' ' || concat_ws(':', code, user_id::VARCHAR, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR END) || ' ' || coalesce(message, '') AS line FROM diag")
 def diagnostic_lines(spark, d):
     from ..functions.text import diagnostic_line
@@ -173,6 +188,13 @@ def recent_revisions(spark, d):
     return _events(spark, d).where("user_id < 50").withColumn("_r", F.row_number().over(w)).where("_r <= 5").select("user_id", "event_id", "ts")
 
 
+@query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 5")
+def recent_revisions_all(spark, d):
+    """recent_revisions of every user."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return _events(spark, d).withColumn("_r", F.row_number().over(w)).where("_r <= 5").select("user_id", "event_id", "ts")
+
+
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS snapshot FROM conversations GROUP BY conv_id")
 def publish_snapshot(spark, d):
     """Ordered aggregate of blocks into one revision."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import ranking
 from ..sources import library as L
 from .registry import query
 
@@ -39,6 +40,13 @@ def natural_sort(spark, d):
     return p.select("p_partkey", F.row_number().over(Window.orderBy(X.natural_key(name))).alias("place"))
 
 
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) AS place FROM part")
+def natural_sort_all(spark, d):
+    """natural_sort over every part."""
+    name = F.concat(F.lit("Page "), F.col("p_size").cast("string"), F.lit(" of "), F.col("p_partkey").cast("string"))
+    return ranking.numbered(L.table(spark, d, "part").select("p_partkey", X.natural_key(name).alias("_key")), ["_key"]).drop("_key")
+
+
 @query(
     """WITH RECURSIVE step(n, left_, out) AS (SELECT i::INT, i::INT, '' FROM range(1, 51) t(i) UNION ALL
   SELECT n, left_ - v, out || r FROM (SELECT n, left_, out, CASE WHEN left_ >= 50 THEN 50 WHEN left_ >= 40 THEN 40 WHEN left_ >= 10 THEN 10 WHEN left_ >= 9 THEN 9 WHEN left_ >= 5 THEN 5 WHEN left_ >= 4 THEN 4 ELSE 1 END AS v,
