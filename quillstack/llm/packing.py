@@ -25,11 +25,11 @@ TOKENS = "part int, local_start long, doc_id long, n_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """part, local_start (ids before it in its partition), doc_id, n_tokens with the end id, ids (little-endian, 2 bytes where the vocabulary allows, else 4)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, before = encoder(tokenizer, added), TaskContext.get().partitionId(), 0
         dtype = "<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4"
         for b in batches:
             for lo, hi, data, offs in text_chunks(b.column(1)):
@@ -86,14 +86,16 @@ def _cut(width: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids (little-endian unsigned 32 bit), doc_tokens, sequence_id, offset.
 
     Null and empty texts are the end id alone.  A repeated row is packed again;
     a null doc_id is packed and stays null.  Any number of pieces comes from a
     very long text.  An empty table gives no piece; other columns are not read.
+    added: a special token's literal in a text is that token, as in the library's
+    default; otherwise it is plain text.
     """
-    table = scratch.save(tokenise(docs, tokenizer, end_id, key, text), "tokens")
+    table = scratch.save(tokenise(docs, tokenizer, end_id, key, text, added), "tokens")
     placed = with_part_start(table).select(
         "doc_id", (F.col("part_start") + F.col("local_start")).alias("at"), "n_tokens", (F.length("ids") == 4 * F.col("n_tokens")).alias("wide"), "ids"
     )

@@ -22,13 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer(), width=2048, end_id=1)
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer(), width=2048, end_id=1, added=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    store = token_store.write(docs, tokenizer(), end_id=2)
+    store = token_store.write(docs, tokenizer(), end_id=2, added=True)
     found = token_store.locate(spark, store, docs, "doc_id")
     return found.join(token_store.read_digests(spark, store), ["part", "block", "offset"]).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 

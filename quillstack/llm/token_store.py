@@ -42,9 +42,9 @@ class TokenStore:
     buckets: int
 
 
-def _blocks(tokenizer: str, end_id: int):
+def _blocks(tokenizer: str, end_id: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, added), TaskContext.get().partitionId()
         dtype = "<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4"
         block = before = 0
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
@@ -117,19 +117,19 @@ def _find(index: pa.Table, keys: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(value[row], mask=null[row]), "part": loc["part"][at], "block": loc["block"][at], "offset": loc["offset"][at], "n_tokens": loc["n"][at]})
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> TokenStore:
+def write(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text", added: bool = False) -> TokenStore:
     """Write all documents' ids, each with end_id after it, in ascending key order.
 
     Null texts are the end id alone; null keys come first and share one entry,
     as do repeated keys, which stand next to each other in the order of a hash
-    of their texts.  An empty table gives a store without rows.
+    of their texts.  An empty table gives a store without rows.  added: as in packing.pack.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(parts, "key", "_h").sortWithinPartitions("key", "_h").select("key", "text")
     path = scratch.new_path(spark, "token-payload")
-    placed.mapInArrow(_blocks(tokenizer, end_id), PAYLOAD).write.option("compression", "zstd").parquet(path)
+    placed.mapInArrow(_blocks(tokenizer, end_id, added), PAYLOAD).write.option("compression", "zstd").parquet(path)
     scratch.free_shuffles(spark)
     heads = spark.read.schema(PAYLOAD).parquet(path).select("part", "block", "keys", "ends")
     n_docs = heads.agg(F.sum(F.size("keys"))).first()[0] or 0

@@ -6,12 +6,15 @@ the ids of its pieces, put together, are the ids of the text.  The library
 encodes each piece a worker meets for the first time; a hash table over
 128-bit piece identities gives the ids of all later ones.  Places where the cut
 would not be safe (runs of white space, control characters, Unicode spaces) are
-not cut: the longer piece goes to the library as it is.
+not cut: the longer piece goes to the library as it is.  Added tokens whose
+literals the library matches are pieces of their own, and what stands on either
+side of one is cut like a text of its own, as the library does.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import cache
 
 import numpy as np
@@ -46,8 +49,8 @@ def _unicode_spaces(d: np.ndarray) -> np.ndarray:
     return np.concatenate([two, two + 1, three, three + 1, three + 2])
 
 
-def pieces(d: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """start and end of the pieces that are encoded on their own, and which bytes are visible; no piece crosses a row's edge."""
+def pieces(d: np.ndarray, offs: np.ndarray, literal: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start and end of the pieces that are encoded on their own, and which bytes are visible; no piece crosses the edge of a row or of a literal (their starts and ends)."""
     n = len(d)
     if not n:
         z = np.zeros(0, np.int64)
@@ -56,30 +59,43 @@ def pieces(d: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     seen[_unicode_spaces(d)] = False
     left, right = np.zeros(n, bool), np.zeros(n, bool)
     left[1:], right[:-1] = seen[:-1], seen[1:]
-    edge = offs[(offs > 0) & (offs < n)]
+    lo, hi = literal or (offs[:0], offs[:0])
+    edge = np.concatenate([offs, lo, hi])
+    edge = edge[(edge > 0) & (edge < n)]
     left[edge] = right[edge - 1] = False
     alone = left & right
     cut = alone & (d == 0x20)
     line = np.flatnonzero(alone & (d == 0x0A))
     cut[line] = cut[line + 1] = True
     cut[1:] |= LETTER[d[:-1]] & STOP[d[1:]]
+    for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+        cut[a:b] = False
     cut[0] = cut[edge] = True
     start = np.flatnonzero(cut)
     return start, np.append(start[1:], n), seen
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """added: match the literals of all added tokens, as the library does by default; otherwise those of special tokens are plain text."""
+
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.lib.encode_special_tokens = not added
+        known = {i: t for i, t in self.lib.get_added_tokens_decoder().items() if added or not t.special}
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized or any(c.isspace() for c in t.content) for t in known.values()):
+            raise ValueError("an added token takes in or depends on what is around it: this tokenizer file can't be used word by word")
+        self.literals = sorted((t.content.encode() for t in known.values() if t.content), key=len, reverse=True)
+        self.literal = re.compile(b"|".join(map(re.escape, self.literals)))
         vocab = self.lib.get_vocab()
         self.size = max(vocab.values()) + 1
         self.n_bytes = np.zeros(self.size, np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)  # byte-level: a character of the vocabulary is a byte
+        for i, t in known.items():
+            self.n_bytes[i] = len(t.content.encode())
         self._clear(1 << 16)
 
     def _clear(self, room: int) -> None:
@@ -144,9 +160,18 @@ class Encoder:
         done = [self._joined(words[0], 0), self._joined(words[1], 1), (np.concatenate([np.zeros(0, np.int32), *one]), np.array([len(x) for x in one], np.int64))]
         return np.concatenate(kinds), np.concatenate([x for x, _ in done]), np.concatenate([n for _, n in done])
 
+    def _literals(self, raw: bytes, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Starts and ends of the added tokens' literals in each row: the leftmost first, and the longest there."""
+        if not any(x in raw for x in self.literals):
+            return None
+        found = [m.span() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True) for m in self.literal.finditer(raw, a, b)]
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return at[:, 0], at[:, 1]
+
     def encode(self, d: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all rows in a row, and the row ends in them."""
-        start, end, seen = pieces(d, offs)
+        raw = d.tobytes()
+        start, end, seen = pieces(d, offs, self._literals(raw, offs))
         rows = len(offs) - 1
         if not start.size:
             return np.zeros(0, np.int32), np.zeros(rows, np.int64)
@@ -163,7 +188,7 @@ class Encoder:
                 miss = np.arange(key.size)
             _, first = np.unique(key[miss] ^ mix(sig[miss]), return_index=True)
             new = miss[first]
-            order, got, n = self._library(d.tobytes(), start[new], end[new], d, seen)
+            order, got, n = self._library(raw, start[new], end[new], d, seen)
             new = new[order]
             while self.used + got.size > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
@@ -179,6 +204,6 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """One per worker process."""
-    return Encoder(path)
+    return Encoder(path, added)
