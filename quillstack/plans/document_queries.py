@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import contents, markdown, unmangle
 from ..sources import library as L
+from ..session import workers_import
 from .registry import query
 
 
@@ -91,5 +92,5 @@ def best_profile(spark, d):
 @query(None)
 def anchor_chain(spark, d):
     """The longest rising chain of (entry, heading) pairs of each user's events; tested against brute force."""
-    e = L.table(spark, d, "events").select(F.col("user_id").alias("book"), F.col("event_id").alias("entry"), F.floor(F.col("value") * 10).cast("long").alias("heading")).where("heading is not null")
+    e = L.table(workers_import(spark), d, "events").select(F.col("user_id").alias("book"), F.col("event_id").alias("entry"), F.floor(F.col("value") * 10).cast("long").alias("heading")).where("heading is not null")
     return contents.anchor_chain(e)
