@@ -153,7 +153,7 @@ def top_reasons(spark, d):
 @query(f"WITH {_DIAG} SELECT event_id, severity, row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, event_id) AS place FROM diag WHERE user_id < 10")
 def severity_order(spark, d):
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    return _diagnostics(spark, d).where("user_id < 10").select("event_id", "severity", F.row_number().over(Window.orderBy(rank, "event_id")).alias("place"))
+    return ranking.numbered(_diagnostics(spark, d).where("user_id < 10").select("event_id", "severity"), [rank, "event_id"])
 
 
 @query(f"WITH {_DIAG} SELECT event_id, severity, row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, event_id) AS place FROM diag")

@@ -33,11 +33,9 @@ def xml_escape(spark, d):
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) AS place FROM part WHERE p_partkey < 500")
 def natural_sort(spark, d):
     """Names with numbers in numeric order, though their digits are not padded."""
-    from pyspark.sql import Window
-
     p = L.table(spark, d, "part").where("p_partkey < 500")
     name = F.concat(F.lit("Page "), F.col("p_size").cast("string"), F.lit(" of "), F.col("p_partkey").cast("string"))
-    return p.select("p_partkey", F.row_number().over(Window.orderBy(X.natural_key(name))).alias("place"))
+    return ranking.numbered(p.select("p_partkey", X.natural_key(name).alias("_key")), ["_key"]).drop("_key")
 
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) AS place FROM part")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import ranking
 from ..operators import search as S
 from ..operators import tree
 from ..sources import library as L
@@ -95,10 +96,8 @@ SELECT id, depth, array_to_string(path, '/') AS path, row_number() OVER (ORDER B
     "sections",
 )
 def outline_order(spark, d):
-    from pyspark.sql import Window
-
-    o = tree.outline(L.sections(spark, d))
-    return o.select("id", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), F.row_number().over(Window.orderBy("path")).alias("place"))
+    o = ranking.numbered(tree.outline(L.sections(spark, d)), ["path", "id"])
+    return o.select("id", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), "place")
 
 
 @query(

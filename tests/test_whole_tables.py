@@ -39,3 +39,9 @@ def test_numbers_of_ranges(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), "id")
     assert [(r.k, r.place) for r in ranking.numbered(df, [F.desc("k")]).orderBy("place").collect()] == [(999 - i, i + 1) for i in range(1000)]
     assert ranking.numbered(df.where("false"), ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["outline_order", "severity_order", "natural_sort", "severity_order_all", "natural_sort_all"])
+def test_places_come_without_a_global_window(spark, name):
+    plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
