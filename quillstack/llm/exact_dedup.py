@@ -135,7 +135,13 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", histor
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops; columns as they were."""
-    rows, _ = scratch.with_row_key(docs, key)
-    gone = _decisions(rows, key, text, "_rid", None).where(~F.col("kept")).select(F.col("row_id").alias("_rid"))
-    return rows.join(gone, "_rid", "left_anti").select(*docs.columns)
+    """docs without the rows that exact_dedup drops; columns as they were.
+
+    Of rows with the same id and text, and of those with null ids, the first
+    read stays.  Null and empty texts are equal to each other, blank ones (one
+    space each) too.  An empty table stays empty.
+    """
+    rid = scratch.fresh(docs, "_rid")
+    rows, _ = scratch.with_row_key(docs, key, rid)
+    gone = _decisions(rows, key, text, rid, None).where(~F.col("kept")).select(F.col("row_id").alias(rid))
+    return rows.join(gone, rid, "left_anti").select(*docs.columns)

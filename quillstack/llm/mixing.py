@@ -22,16 +22,18 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 CHUNK = 1 << 12
+STRETCH = 1 << 10
 #: Two neighbouring Fibonacci numbers: i * A mod M runs through the golden-ratio lattice.
 M, A = 1836311903, 1134903170
 FINE = 1 << 28
 
 
 def document_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
-    """row_id, doc_id, source, size (words; null text: 0), place (28-bit hash that shuffles a source's rows)."""
+    """row_id, doc_id, source, size (words; null text: 0), place (28-bit hash of the row's number that shuffles a source's rows)."""
+    number = F.col(row) if row else F.monotonically_increasing_id()
     size = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    place = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 7), 16, 10).cast("long")
-    return docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row_id"), F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), place.alias("place"))
+    place = F.conv(F.substring(F.md5(number.cast("string")), 1, 7), 16, 10).cast("long")
+    return docs.select(number.alias("row_id"), F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), place.alias("place"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -125,16 +127,36 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return sizes, targets, pieces
 
 
-def taken(docs: DataFrame, **parameters) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken (words the mix takes of it, repeats counted)."""
-    sizes, targets, pieces = mix(docs, **parameters)
-    each = pieces.groupBy("row_id").agg(F.sum("words").alias("taken"))
+def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **parameters) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken (words the mix takes of it, repeats counted), first_slot, last_slot.
+
+    The slots are the first and the last of the schedule that take words of the
+    row (null where none does).  Null texts have size 0 and are never taken; a
+    null source is a source; null and repeated ids are rows of their own, placed
+    by their row number instead of their id.  An empty table gives no row; other
+    columns are not read.
+    """
+    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
+    rows, _ = scratch.with_row_key(docs)
+    sizes, targets, pieces = mix(rows, row="_rid", **parameters)
+    each = pieces.groupBy("row_id").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
     named = targets.select(F.col("source").alias("_s"), "source_size", "target")
-    return sizes.join(F.broadcast(named) if targets.count() <= 10_000 else named, F.col("source").eqNullSafe(F.col("_s"))).join(each, "row_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    joined = sizes.join(F.broadcast(named) if targets.count() <= 10_000 else named, F.col("source").eqNullSafe(F.col("_s"))).join(each, "row_id", "left")
+    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot", "last_slot")
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **parameters) -> DataFrame:
-    """docs in the mix: a row once for each round in which the mix takes its first word, columns as they were."""
-    rows, _ = scratch.with_row_key(docs, key)
-    _, _, pieces = mix(rows, key=key, text=text, source=source, row="_rid", **parameters)
-    return rows.join(pieces.where("first = 0").select(F.col("row_id").alias("_rid")), "_rid").select(*docs.columns)
+    """docs in the mix: a row once for each round in which the mix takes its first word, columns as they were.
+
+    Rows lie in the schedule's order: stretches of ``STRETCH`` slots are dealt to
+    the partitions, by slot inside each.  Rows without words are not in the mix.  A null source is
+    a source; repeated rows and null keys are rows of their own.  An empty table
+    stays empty.
+    """
+    rid = scratch.fresh(docs, "_rid")
+    rows, _ = scratch.with_row_key(docs, key, rid)
+    _, _, pieces = mix(rows, key=key, text=text, source=source, row=rid, **parameters)
+    slot, turn = scratch.fresh(docs, "_slot"), scratch.fresh(docs, "_turn")
+    starts = pieces.where("first = 0").select(F.col("row_id").alias(rid), F.col("slot").alias(slot), F.col("epoch").alias(turn))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.join(starts, rid).repartition(parts, F.floor(F.col(slot) / STRETCH)).sortWithinPartitions(slot, turn, rid).select(*docs.columns)

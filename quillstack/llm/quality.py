@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .textscan import U, mix, prefix_hash, shingles, span_hash, text_chunks, word_spans
+from .textscan import U, lookup, mix, shingles, span_hash, text_chunks, word_spans
 
 #: Labelled rows that the fit sees at most.
 SAMPLE = 20000
@@ -31,7 +31,7 @@ _MARK[[x for x in b"!?;:=_~^@"]] = True
 
 
 def _per_row(flag: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])[offs])
+    return np.diff(np.searchsorted(np.flatnonzero(flag), offs))
 
 
 def _repeated(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,11 +48,11 @@ def _repeated(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def statistics(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     rows = len(offs) - 1
     start, end, row = word_spans(data, offs)
-    prefix = prefix_hash(data)
-    lead = (data & 0xC0) != 0x80
-    chars = np.concatenate([[0], np.cumsum(lead, dtype=np.int64)])
-    out = {"n_words": np.bincount(row, minlength=rows), "word_chars": np.bincount(row, chars[end] - chars[start], rows).astype(np.int64)}
-    out["n_symbols"] = _per_row(_SYMBOL[data], offs)
+    inner = np.flatnonzero((data & 0xC0) == 0x80)  # bytes that don't begin a character
+    chars = end - start - np.searchsorted(inner, end) + np.searchsorted(inner, start)
+    out = {"n_words": np.bincount(row, minlength=rows), "word_chars": np.bincount(row, chars, rows).astype(np.int64)}
+    out["n_chars"] = np.diff(offs) - np.diff(np.searchsorted(inner, offs))
+    out["n_symbols"] = _per_row(lookup(_SYMBOL, data), offs)
     breaks = np.flatnonzero(data == 10)
     first = np.sort(np.concatenate([offs[:-1], breaks + 1]))
     line_row = np.repeat(np.arange(rows), _per_row(data == 10, offs) + 1)
@@ -61,9 +61,9 @@ def statistics(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     last = np.where(final, offs[line_row + 1], last - 1)
     words_in = np.searchsorted(start, last) - np.searchsorted(start, first)
     some = words_in > 0
-    later, _ = _repeated(line_row[some], span_hash(prefix, first[some], last[some]))
+    later, _ = _repeated(line_row[some], span_hash(data, first[some], last[some]))
     out["n_dup_lines"] = np.bincount(line_row[some], later, rows).astype(np.int64)
-    word = span_hash(prefix, start, end)
+    word = span_hash(data, start, end)
     covered = np.zeros(len(word), bool)
     if len(word) >= 3:
         window = np.flatnonzero(row[2:] == row[:-2])
@@ -77,8 +77,7 @@ def statistics(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     out["n_lines"] = np.bincount(line_row, some, rows).astype(np.int64)
     out["n_upper"] = _per_row((data >= 65) & (data <= 90), offs)
     out["n_digits"] = _per_row((data >= 48) & (data <= 57), offs)
-    out["n_marks"] = _per_row(_MARK[data], offs)
-    out["n_chars"] = _per_row(lead, offs)
+    out["n_marks"] = _per_row(lookup(_MARK, data), offs)
     return out
 
 
@@ -194,8 +193,11 @@ def fit(x: np.ndarray, y: np.ndarray, signs: tuple[int, ...] = tuple(FEATURES.va
 
 
 def train(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Trees:
+    """Fit on at most about ``sample`` labelled keys, chosen by a hash; of rows that share a key the least statistics count, of its labels the least."""
     named = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.min(F.col(label).cast("int")).alias("_y"))
-    rows = stats.join(named, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(sample).toPandas()
+    chosen = named.where(scratch.share("doc_id", sample, named.count()))
+    each = stats.join(chosen, "doc_id").groupBy("doc_id", "_y").agg(F.min(F.struct(*COUNTS)).alias("s"))
+    rows = each.select("doc_id", "_y", "s.*").toPandas().sort_values("doc_id")
     return fit(features({c: rows[c].to_numpy(float) for c in COUNTS}), rows["_y"].to_numpy(float))
 
 

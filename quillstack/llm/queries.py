@@ -64,11 +64,24 @@ r AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - (coalesce(su
          a AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 l AS (SELECT *, max(CASE WHEN rate * weight <= source_size * 2 THEN rate END) OVER () AS level FROM r),
 g AS (SELECT source, source_size, CASE WHEN level IS NULL OR source_size * 2 < level * weight THEN (source_size * 2)::DOUBLE ELSE level * weight END AS target FROM l),
-p AS (SELECT doc_id, size, source_size, target, floor(target)::BIGINT AS need,
-  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(pos + size, need) - pos) + greatest(0, least(pos + source_size + size, need) - pos - source_size))::BIGINT AS taken FROM p
+h AS (SELECT *, floor(target)::BIGINT AS need, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM g),
+k AS (SELECT least(1024, greatest(16, sum(need)::BIGINT // 262144)) AS block FROM h),
+p AS (SELECT doc_id, size, source_size, target, need, sid,
+  coalesce(sum(size) OVER (PARTITION BY sid ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+  FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source),
+n AS (SELECT sum(ceil(need / block))::BIGINT AS slots FROM h, k WHERE need > 0),
+b AS (SELECT sid, ceil(need / block)::BIGINT AS blocks, ((upto - need)::BIGINT / share::BIGINT) * 1836311903 AS lo, (upto::BIGINT / share::BIGINT) * 1836311903 AS hi
+  FROM (SELECT sid, need, sum(need) OVER (ORDER BY sid) AS upto, sum(need) OVER () AS share FROM h WHERE need > 0), k),
+u AS (SELECT i AS slot, ((i % 1836311903) * 1134903170) % 1836311903 AS u FROM (SELECT unnest(range(slots)) AS i FROM n)),
+v AS (SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank, blocks FROM u JOIN b ON u >= lo AND u < hi),
+y AS (SELECT slot, sid, rank FROM v WHERE rank < blocks
+  UNION ALL SELECT slots, sid, unnest(range(have, blocks)) FROM (SELECT b.sid, b.blocks, count(slot) AS have FROM b LEFT JOIN v USING (sid) GROUP BY ALL), n WHERE have < blocks),
+e AS (SELECT doc_id, sid, unnest(range(lo // block, (hi - 1) // block + 1)) AS rank
+  FROM (SELECT doc_id, sid, pos + t * source_size AS lo, least(pos + t * source_size + size, need) AS hi FROM p, range(2) r(t) WHERE size > 0 AND pos + t * source_size < need), k),
+z AS (SELECT doc_id, min(slot) AS first_slot, max(slot) AS last_slot FROM e JOIN y USING (sid, rank) GROUP BY doc_id)
+SELECT p.doc_id, size, source_size, target,
+  (greatest(0, least(pos + size, need) - pos) + greatest(0, least(pos + source_size + size, need) - pos - source_size))::BIGINT AS taken, first_slot, last_slot
+FROM p LEFT JOIN z ON p.doc_id = z.doc_id
 """
 
 

@@ -41,7 +41,7 @@ def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
     rows = scratch.save(addresses(docs, key, text), "addresses")
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     depth, low = max(0, (total // limit).bit_length() + 2), 0
-    left, found = rows, []
+    left, found, placed = rows, [], []
     while True:
         cells = left.groupBy(F.substring(F.col("bits"), 1, depth).alias("p")).agg(F.sum("bytes").alias("b"), F.count("*").alias("n"))
         spread = cells.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(depth))))
@@ -53,6 +53,10 @@ def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
         parent = outer.alias("o")
         shards = kin.join(parent, (F.col("c.depth") == F.col("o.depth")) & (F.col("c.up") == F.col("o.q")), "left_anti").select(F.col("c.q").alias("shard"), F.col("c.depth").alias("depth"), F.col("c.b").alias("shard_bytes"), F.col("c.n").alias("shard_docs"))
         found.append(scratch.save(shards, "directory"))
+        # A row's shard by its cell: the cells, far fewer than the rows, are matched with the directory at every depth.
+        kept = cells.select("p", F.explode(F.sequence(F.lit(low), F.lit(depth))).alias("depth")).withColumn("shard", F.expr("substring(p, 1, depth)")).join(found[-1].select("shard", "depth"), ["shard", "depth"])
+        kept = scratch.save(kept.select("p", "shard"), "cells")
+        placed.append(left.withColumn("p", F.substring(F.col("bits"), 1, depth)).join(kept, "p").select("rid", "doc_id", "bytes", "shard"))
         over = sums.where((F.col("depth") == depth) & (F.col("b") > limit) & (F.col("n") > 1))
         if depth >= 2 * BITS or over.limit(1).count() == 0:
             break
@@ -61,20 +65,23 @@ def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
     directory = found[0]
     for more in found[1:]:
         directory = directory.unionByName(more)
-    depths = sorted(r[0] for r in directory.select("depth").distinct().collect())  # at most 2 * BITS + 1 values
-    named = rows.withColumn("_d", F.explode(F.array(*[F.lit(d) for d in depths]).cast("array<int>"))).withColumn("shard", F.expr("substring(bits, 1, _d)"))
-    placed = named.join(directory.select("shard", F.col("depth").alias("_d")), ["shard", "_d"]).select("rid", "doc_id", "bytes", "shard")
-    return placed, directory
+    out = placed[0]
+    for more in placed[1:]:
+        out = out.unionByName(more)
+    return out, directory
 
 
 def sharded(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, doc_bytes, shard, depth, shard_bytes, shard_docs of every row."""
+    """doc_id, doc_bytes, shard, depth, shard_bytes, shard_docs of every row; nulls, repeats and empty tables as in assign."""
     rows, directory = assign(docs, limit, key, text)
     return rows.join(directory, "shard").select("doc_id", F.col("bytes").alias("doc_bytes"), "shard", "depth", "shard_bytes", "shard_docs")
 
 
-def write_shards(docs: DataFrame, limit: int, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """One folder per shard with its rows, columns as they were."""
-    numbered, _ = scratch.with_row_key(docs, key)
-    rows, _ = assign(numbered, limit, "_rid", text)
-    numbered.join(rows.select(F.col("doc_id").alias("_rid"), "shard"), "_rid").drop("_rid").repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, limit: int, path: str, key: str = "doc_id", text: str = "text", folder: str = "shard") -> None:
+    """One folder ``folder=bits`` per shard with its rows, columns as they were; docs must not have a column named like the folder."""
+    if folder.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"{folder!r} is a column of the table: name another folder")
+    rid = scratch.fresh(docs, "_rid")
+    numbered, _ = scratch.with_row_key(docs, key, rid)
+    rows, _ = assign(numbered, limit, rid, text)
+    numbered.join(rows.select(F.col("doc_id").alias(rid), F.col("shard").alias(folder)), rid).drop(rid).repartition(folder).write.partitionBy(folder).parquet(path)

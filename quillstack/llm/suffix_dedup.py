@@ -30,14 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .textscan import U, mix, prefix_hash, span_hash, text_chunks
+from .textscan import RUN, U, mix, span_hash, text_chunks
 
 GRAM = 32
 SHALLOW = 16
 BUCKET = 8192
 HOT = 1 << 16
 WINDOW = 1 << 18
-SEGMENT = 1 << 24
 _POS = U((1 << 26) - 1)
 
 
@@ -54,13 +53,12 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """row, place in the row, gram hash, bytes left and right of the place that the anchor's windows reach."""
     out = []
-    for base in range(0, max(1, len(data) - length + 1), SEGMENT):
-        d = data[base : base + SEGMENT + length - 1]
+    for base in range(0, max(1, len(data) - length + 1), RUN):
+        d = data[base : base + RUN + length - 1]
         if len(d) < length:
             break
-        prefix = prefix_hash(d)
         at = np.arange(len(d) - GRAM + 1)
-        grams = span_hash(prefix, at, at + GRAM)
+        grams = span_hash(d, at, at + GRAM)
         best = _sliding_min((grams & ~_POS) | at.astype(np.uint64), length - GRAM + 1)  # of windows at 0, 1, ...
         place = (best & _POS).astype(np.int64)
         start = np.arange(len(place)) + base
@@ -93,14 +91,19 @@ def _merged(rid: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.nda
 def _anchor_rows(length: int):
     """Anchors (kind 0), and spans (kind 1: place, and right for the length) that repeat within a window of them.
 
-    Of anchors with equal contexts among ``WINDOW`` in a row of a task one goes
-    on and all are repeated bytes already: copies of a text, a passage or a
-    period of a periodic one meet here before any shuffle.
+    Of anchors with equal contexts (by two 64-bit hashes and both lengths) among
+    ``WINDOW`` in a row of a task one goes on and all are repeated bytes already:
+    copies of a text, a passage or a period of a periodic one meet here before
+    any shuffle.
     """
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        key, gram, rid, place, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, first, back, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        one, two, gram, rid, place, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((right, left, two, one))
+        new = np.append(True, np.any([x[order][1:] != x[order][:-1] for x in (one, two, left, right)], axis=0))
+        first, back = order[new], np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new) - 1
+        times = np.bincount(back)
         zero = np.zeros(len(first), np.int32)
         cols = [zero, gram[first].view(np.int64), rid[first], place[first], left[first], right[first]]
         often = times[back] > 1
@@ -118,9 +121,8 @@ def _anchor_rows(length: int):
                 if not len(row):
                     continue
                 at = offs[row] + place
-                context = span_hash(prefix_hash(data), at - left, at + right)
                 rid = b.column(0).slice(lo, hi - lo).to_numpy()[row]
-                held.append((mix(gram ^ mix(context + left.astype(np.uint64))), gram, rid, place, left, right))
+                held.append((span_hash(data, at - left, at + right), span_hash(data, at - left, at + right, 1), gram, rid, place, left, right))
                 n += len(row)
                 if n >= WINDOW:
                     yield from flush(held)
@@ -347,10 +349,9 @@ def _hot_windows(length: int):
             for i, (x, y) in enumerate(zip(before, after, strict=True)):
                 d = np.frombuffer(x + y, np.uint8)
                 at = np.arange(len(d) - length + 1)
-                one, two = prefix_hash(d), prefix_hash(d[::-1])
                 rid, place = b.column("rid")[i].as_py(), b.column("place")[i].as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(span_hash(one, at, at + length).view(np.int64)), pa.array(span_hash(two, len(d) - at - length, len(d) - at).view(np.int64)), pa.array(np.full(len(at), rid)), pa.array(place - len(x) + at)],
+                    [pa.array(span_hash(d, at, at + length).view(np.int64)), pa.array(span_hash(d, at, at + length, 1).view(np.int64)), pa.array(np.full(len(at), rid)), pa.array(place - len(x) + at)],
                     ["w1", "w2", "rid", "first"],
                 )
 
@@ -362,18 +363,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept")}
         spans = b.column("spans")
         for raw, s in zip(b.column("text").cast(pa.binary()).to_pylist(), spans, strict=True):
-            n = removed = runs = 0
+            removed = runs = 0
             kept = raw
             if s.is_valid and len(raw):
-                step = np.zeros(len(raw) + 1, np.int64)
                 v = s.values
-                np.add.at(step, v.field("first").to_numpy(), 1)
-                np.add.at(step, v.field("end").to_numpy(), -1)
-                gone = np.cumsum(step)[:-1] > 0
-                removed, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            n = len(raw)
-            for c, x in zip(out, (n, removed, runs, kept), strict=True):
+                _, first, end = _merged(np.zeros(len(v), np.int64), v.field("first").to_numpy(), v.field("end").to_numpy())
+                removed, runs = int((end - first).sum()), len(first)
+                view = memoryview(raw)
+                kept = b"".join(view[a:z] for a, z in zip([0, *end.tolist()], [*first.tolist(), len(raw)], strict=True))
+            for c, x in zip(out, (len(raw), removed, runs, kept), strict=True):
                 out[c].append(x)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary())], ["doc_id", *out])
 

@@ -20,13 +20,24 @@ LOWER_ASCII = np.arange(256, dtype=np.uint8)
 LOWER_ASCII[65:91] += 32
 
 BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(BASE, -1, 1 << 64)
-_pow = np.ones(1, np.uint64)
-_inv = np.ones(1, np.uint64)
+#: Texts are scanned in runs of this many bytes, which bounds what a worker holds beside them.
+RUN = 1 << 18
+_STEP = 1 << 16
 U = np.uint64
 
 
-def text_chunks(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base & (1 << 64) - 1, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_BASES = (BASE, 0xC2B2AE3D27D4EB4F)
+_LOW = [_powers(b, _STEP) for b in _BASES]
+_LOW_INVERSE = [_powers(pow(b, -1, 1 << 64), _STEP) for b in _BASES]
+
+
+def text_chunks(column: pa.Array, limit: int = RUN) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for runs of rows of about ``limit`` bytes; a longer text is a run of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -58,25 +69,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
-        size = max(n, 1 << 16)
-        a, b = np.full(size, BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-        a[0] = b[0] = 1
-        _pow, _inv = np.cumprod(a, dtype=np.uint64), np.cumprod(b, dtype=np.uint64)
-    return _pow, _inv
-
-
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash; span_hash reads any span's hash from it."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + U(1)) * _powers(len(data) + 1)[0][: len(data)], out=out[1:])
+def lookup(table: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """table[data], in runs: an index array takes eight bytes a byte."""
+    out = np.empty(len(data), table.dtype)
+    for a in range(0, len(data), RUN):
+        out[a : a + RUN] = table[data[a : a + RUN]]
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((prefix[end] - prefix[start]) * _powers(len(prefix))[1][start] + (end - start).astype(np.uint64))
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0) -> np.ndarray:
+    """Hash of the bytes of every span; starts and ends must each ascend. base: 0 or 1, for two independent hashes.
+
+    A running polynomial hash is kept for 64 KB at a time only.
+    """
+    high = _powers(pow(_BASES[base], _STEP, 1 << 64), (len(data) >> 16) + 1)
+    inverse = _powers(pow(_BASES[base], -_STEP, 1 << 64), (len(data) >> 16) + 1)
+    first, last = np.empty(len(start), np.uint64), np.empty(len(end), np.uint64)
+    carry, done = U(0), [0, 0]
+    run = np.zeros(_STEP + 1, np.uint64)
+    for j, at in enumerate(range(0, len(data) + 1, _STEP)):
+        d = data[at : at + _STEP]
+        here = run[: len(d) + 1]
+        here[0] = 0
+        np.cumsum((d.astype(np.uint64) + U(1)) * _LOW[base][: len(d)], out=here[1:])
+        here *= high[j]
+        here += carry
+        for k, (place, out) in enumerate(((start, first), (end, last))):
+            upto = done[k] + int(np.searchsorted(place[done[k] :], at + _STEP))
+            out[done[k] : upto] = here[place[done[k] : upto] - at]
+            done[k] = upto
+        carry = here[-1]
+    last -= first
+    last *= _LOW_INVERSE[base][start & (_STEP - 1)] * inverse[start >> 16]
+    last += (end - start).astype(np.uint64)
+    return mix(last)
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +110,7 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
-    inside = ~IS_SPACE[data]
+    inside = lookup(~IS_SPACE, data)
     before, after = np.empty(len(data), bool), np.empty(len(data), bool)
     before[0] = after[-1] = True
     before[1:], after[:-1] = ~inside[:-1], ~inside[1:]
@@ -99,14 +125,16 @@ def shingles(word_hash: np.ndarray, row: np.ndarray, n_rows: int, k: int, short:
     """Hash and row of every k-word window; with ``short``, a row of fewer words gives its whole sequence as one."""
     count = np.bincount(row, minlength=n_rows)
     m = len(word_hash)
-    if m >= k:
-        whole = row[k - 1 :] == row[: m - k + 1]
-        acc = np.zeros(m - k + 1, np.uint64)
+    found, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a in range(0, m - k + 1, RUN):
+        b = min(a + RUN, m - k + 1)
+        whole = row[a + k - 1 : b + k - 1] == row[a:b]
+        acc = np.zeros(b - a, np.uint64)
         for j in range(k):
-            acc = acc * U(0xD6E8FEB86659FD93) + word_hash[j : m - k + 1 + j]
-        sh, sr = mix(acc[whole]), row[: m - k + 1][whole]
-    else:
-        sh, sr = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            acc = acc * U(0xD6E8FEB86659FD93) + word_hash[a + j : b + j]
+        found.append(mix(acc[whole]))
+        rows.append(row[a:b][whole])
+    sh, sr = np.concatenate(found), np.concatenate(rows)
     if short and (few := np.flatnonzero((count > 0) & (count < k))).size:
         first = np.concatenate([[0], np.cumsum(count)])[few]
         acc = np.full(few.size, U(0x51ED27), np.uint64) + count[few].astype(np.uint64)

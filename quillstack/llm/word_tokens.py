@@ -19,7 +19,7 @@ from functools import cache
 
 import numpy as np
 
-from .textscan import U, mix, prefix_hash, span_hash
+from .textscan import RUN, U, lookup, mix, span_hash
 
 VISIBLE = np.zeros(256, bool)
 VISIBLE[0x21:0x7F] = True
@@ -28,8 +28,8 @@ LETTER, STOP = np.zeros(256, bool), np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
 STOP[[x for x in b"!#$%&()*,-./:;<=>?@[]^_{|}~"]] = True
 MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-#: Pieces that a worker's table holds at most, some 40 MB; a full table starts anew.
-MOST = 1 << 20
+#: Pieces that a worker's table holds at most, some 20 MB; a full table starts anew.
+MOST = 1 << 18
 
 
 def _unicode_spaces(d: np.ndarray) -> np.ndarray:
@@ -55,7 +55,7 @@ def pieces(d: np.ndarray, offs: np.ndarray, literal: tuple[np.ndarray, np.ndarra
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, bool)
-    seen = VISIBLE[d]
+    seen = lookup(VISIBLE, d)
     seen[_unicode_spaces(d)] = False
     left, right = np.zeros(n, bool), np.zeros(n, bool)
     left[1:], right[:-1] = seen[:-1], seen[1:]
@@ -67,7 +67,7 @@ def pieces(d: np.ndarray, offs: np.ndarray, literal: tuple[np.ndarray, np.ndarra
     cut = alone & (d == 0x20)
     line = np.flatnonzero(alone & (d == 0x0A))
     cut[line] = cut[line + 1] = True
-    cut[1:] |= LETTER[d[:-1]] & STOP[d[1:]]
+    cut[1:] |= lookup(LETTER, d[:-1]) & lookup(STOP, d[1:])
     for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
         cut[a:b] = False
     cut[0] = cut[edge] = True
@@ -168,22 +168,46 @@ class Encoder:
         at = np.array(found, np.int64).reshape(-1, 2)
         return at[:, 0], at[:, 1]
 
+    def _spaces(self, d: np.ndarray) -> list[int]:
+        """Bounds of runs of about ``RUN`` bytes: a space between two ASCII letters is always a cut, and never inside a literal."""
+        out = [0]
+        while len(d) - out[-1] > RUN:
+            at, size = out[-1] + RUN // 2, RUN
+            while at + 1 < len(d):
+                w = d[at - 1 : at + size + 1]
+                found = np.flatnonzero(lookup(LETTER, w[:-2]) & (w[1:-1] == 0x20) & lookup(LETTER, w[2:]))
+                if found.size:
+                    break
+                at, size = at + size, 2 * size
+            if at + 1 >= len(d):
+                break
+            out.append(at + int(found[0]))
+        return [*out, len(d)]
+
     def encode(self, d: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all rows in a row, and the row ends in them."""
+        if len(offs) == 2 and len(d) > RUN:  # one long text
+            cuts = self._spaces(d)
+            if len(cuts) > 2:
+                ids = np.concatenate([self._encode(d[a:z], np.array([0, z - a]))[0] for a, z in zip(cuts[:-1], cuts[1:], strict=True)])
+                return ids, np.array([len(ids)], np.int64)
+        return self._encode(d, offs)
+
+    def _encode(self, d: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = d.tobytes()
         start, end, seen = pieces(d, offs, self._literals(raw, offs))
         rows = len(offs) - 1
         if not start.size:
             return np.zeros(0, np.int32), np.zeros(rows, np.int64)
         size = end - start
-        key = span_hash(prefix_hash(d), start, end)
+        key = span_hash(d, start, end)
         pad = np.concatenate([d, np.zeros(8, np.uint8)])
         eight = np.ndarray(len(d), "<u8", pad, strides=(1,))
         sig = mix((eight[start] & MASK[np.minimum(size, 8)]) + U(0x9FB21C651E98DF25) * (eight[np.maximum(end - 8, start)] & MASK[np.minimum(size, 8)]) + size.astype(np.uint64))
         slot = self._find(key, sig)
         miss = np.flatnonzero(slot < 0)
         if miss.size:
-            if self.n + miss.size > MOST:
+            if self.n and self.n + miss.size > MOST:
                 self._clear(1 << 16)
                 miss = np.arange(key.size)
             _, first = np.unique(key[miss] ^ mix(sig[miss]), return_index=True)

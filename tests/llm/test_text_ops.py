@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstack.llm import chat_repair, mixing, ngram_join, quality, suffix_dedup, toxicity
+from quillstack.llm import chat_repair, exact_dedup, mixing, ngram_join, quality, suffix_dedup, toxicity
 from quillstack.llm.components import components
 
 from .conftest import ROWS
@@ -69,6 +69,82 @@ def test_factorization_machine_learns_a_pair():
     assert ((p > 0.5) == np.array([r[1] for r in rows])).mean() > 0.97
 
 
+def test_factorization_machine_learns_an_exclusive_pair():
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(2000):
+        a, b = (rng.random(2) < 0.5).tolist()
+        rows.append((np.array([1] * a + [2] * b + sorted(rng.choice(np.arange(100, 140), 3, replace=False).tolist())), int(a != b)))
+    model = toxicity.fit(rows[:1500], 0.5)
+    for terms, label in rows[1500:]:
+        t = model.feature[terms]
+        assert (brute_margin(model, t[t >= 0]) > 0) == label
+
+
+def brute_margin(model, terms):
+    """The written formula, pair by pair."""
+    pairs = sum(float(model.v[i] @ model.v[j]) for k, i in enumerate(terms) for j in terms[:k])
+    return model.bias + sum(float(model.w[i]) for i in terms) + pairs
+
+
+def test_scores_follow_the_formula():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["alpha", "bet", "gamma", "idiots", "Moron", "x1y", "\u00e9t\u00e9"], 9)) for _ in range(60)] + ["", "..."]
+    import pyarrow as pa
+
+    from quillstack.llm.textscan import text_chunks
+
+    ((_, _, data, offs),) = text_chunks(pa.array(texts))
+    row, bucket = toxicity.term_buckets(data, offs)
+    feature = np.full(toxicity.BUCKETS, -1, np.int32)
+    some = np.unique(bucket)
+    feature[some] = np.arange(len(some))
+    model = toxicity.Machine(feature, -0.3, rng.normal(size=len(some)), rng.normal(size=(len(some), 8)))
+    for i, got in enumerate(model.scores(data, offs)):
+        assert abs(got - 1 / (1 + np.exp(-np.clip(brute_margin(model, feature[bucket[row == i]]), -40, 40)))) < 1e-9
+
+
+def test_very_long_texts_are_scanned_in_runs(spark):
+    """Runs, blocks and chunks end inside these texts."""
+    import pyarrow as pa
+
+    from quillstack.llm.textscan import span_hash, text_chunks, word_spans
+
+    rng = random.Random(3)
+    words = [rng.choice(["ab", "Cde", "\u00fcber", "x\ny", "12,3"]) + str(rng.randrange(900)) for _ in range(120_000)]
+    text = " ".join(words)
+    ((_, _, data, offs),) = text_chunks(pa.array([text]))
+    assert len(data) > 3 * (1 << 18)
+    s = quality.statistics(data, offs)
+    assert tuple(int(s[c][0]) for c in quality.COUNTS[:5]) == brute_statistics(text)
+    start, end, _ = word_spans(data, offs)
+    raw = text.encode()
+    for k in (0, 1):
+        h = span_hash(data, start, end, k)
+        seen = {}
+        for a, z, x in zip(start.tolist(), end.tolist(), h.tolist()):
+            assert seen.setdefault(raw[a:z], x) == x
+        assert len(set(seen.values())) == len(seen)
+    sets = ngram_join.shingle_sets(data, offs, 3)[0]
+    w = WORD.findall(text.translate(LOWER))
+    assert len(sets) == len({tuple(w[i : i + 3]) for i in range(len(w) - 2)})
+    terms = {m for m in re.findall(r"[a-z\u0080-\uffff]+", text.translate(LOWER))}
+    terms |= {(n, t.encode()[:n]) for t in terms for n in toxicity.STEMS if len(t.encode()) > n}
+    assert len(terms) - 3 <= len(toxicity.term_buckets(data, offs)[0]) <= len(terms)
+    rows = [(1, text), (2, text[:500_000]), (3, "short")]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in out}
+    n = len(text[:500_000].encode())
+    assert gone == {1: (len(raw), n, 1), 2: (n, n, 1), 3: (5, 0, 0)}
+
+
+def test_own_columns_keep_their_values(spark, tmp_path):
+    clash = spark.createDataFrame([(1, "a b c d e f", "s", 7, 8, 9), (2, "a b c d e f", None, 7, 8, 9), (None, None, "s", None, None, None)], "doc_id long, text string, source string, _rid int, _place int, _slot int")
+    for out in (exact_dedup.keep_first(clash), ngram_join.keep_one(clash), mixing.mixed_documents(clash)):
+        assert out.columns == clash.columns
+        assert {(r._rid, r._place, r._slot) for r in out.collect()} <= {(7, 8, 9), (None, None, None)}
+
+
 def test_toxicity_by_brute_margin(spark, docs, empty):
     rng = random.Random(4)
     texts = [(i, " ".join(rng.choices(["the", "and", "of", "in"], k=20) + (["moron", "Idiot!"][i % 2 : 1 + i % 2] if i % 5 == 0 else []))) for i in range(400)]
