@@ -28,8 +28,8 @@ LETTER, STOP = np.zeros(256, bool), np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
 STOP[[x for x in b"!#$%&()*,-./:;<=>?@[]^_{|}~"]] = True
 MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-#: Pieces that a worker's table holds at most, some 20 MB; a full table starts anew.
-MOST = 1 << 18
+#: Pieces that a worker's table holds at most, some 40 MB; a full table starts anew.
+MOST = 1 << 19
 
 
 def _unicode_spaces(d: np.ndarray) -> np.ndarray:
