@@ -22,7 +22,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 CHUNK = 1 << 12
-STRETCH = 1 << 10
+STRETCH = 1 << 7
 #: Two neighbouring Fibonacci numbers: i * A mod M runs through the golden-ratio lattice.
 M, A = 1836311903, 1134903170
 FINE = 1 << 28
