@@ -30,11 +30,15 @@ def cell_escape(c: Column) -> Column:
     return _replaced(c, [("|", "\\|"), ("\n", " ")])
 
 
-def natural_key(c: Column, width: int = 12) -> Column:
-    """Digit runs padded to width and letters lower-cased, so that plain order is numeric-aware."""
+def natural_key(c: Column) -> Column:
+    """Letters lower-cased and each digit run led by its length, so that plain order is numeric-aware for numbers of any length."""
     parts = F.regexp_extract_all(F.lower(c), F.lit("([0-9]+|[^0-9]+)"), 1)
-    padded = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, width, "0")).otherwise(p))
-    return F.array_join(padded, "")
+
+    def key(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+(?=.)", "")
+        return F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits)).otherwise(p)
+
+    return F.array_join(F.transform(parts, key), "")
 
 
 #: Values of the roman digits.
@@ -50,10 +54,18 @@ def roman_to_int(c: Column) -> Column:
 
 
 def heading_number(c: Column) -> Column:
-    """The leading number of a heading: followed by a dot or space, or dotted and followed by a letter; else ''."""
-    spaced = F.regexp_extract(c, r"^([0-9]+(?:\.[0-9]+)*)\.?\s+\S", 1)
-    glued = F.regexp_extract(c, r"^([0-9]+(?:\.[0-9]+)+)\p{L}", 1)
-    return F.when(spaced != "", spaced).otherwise(glued)
+    """The leading number of a heading: followed by a dot or a space and more text, or dotted and followed by a letter; else ''."""
+    t = F.trim(F.regexp_replace(c, r"\s+", " "))
+    apart = F.regexp_extract(t, r"^([0-9]++(?:\.[0-9]++)*+)(?:\. ?| )[^ ]", 1)
+    glued = F.regexp_extract(t, r"^([0-9]++(?:\.[0-9]++)++)\p{L}", 1)
+    return F.when(apart != "", apart).otherwise(glued)
+
+
+def heading_title(c: Column) -> Column:
+    """A heading's text without its number."""
+    t = F.trim(F.regexp_replace(c, r"\s+", " "))
+    n = heading_number(c)
+    return F.when(n != "", F.trim(F.regexp_replace(F.substring(t, F.length(n) + 1, F.length(t)), r"^\.", ""))).otherwise(t)
 
 
 def fence(c: Column) -> Column:
@@ -87,14 +99,16 @@ def page_number(name: Column, ordinal: Column) -> Column:
     return F.when(found != "", found.cast("int")).otherwise(ordinal)
 
 
-def diagnostic_line(severity: Column, file: Column, line: Column, column: Column, message: Column) -> Column:
-    """``warning file:line:col message`` with severities as wide as the longest, null parts left out."""
-    return F.concat(F.rpad(severity, 7, " "), F.lit(" "), F.concat_ws(":", file, line.cast("string"), column.cast("string")), F.lit(" "), message)
+def diagnostic_line(severity: Column, code: Column, file: Column, line: Column, column: Column, message: Column) -> Column:
+    """``warning code (file:line:col): message`` with severities as wide as the longest; null places are left out, and with them the brackets."""
+    place = F.concat_ws(":", file, line.cast("string"), column.cast("string"))
+    return F.concat(F.rpad(severity, 7, " "), F.lit(" "), code, F.when(place != "", F.concat(F.lit(" ("), place, F.lit(")"))).otherwise(""), F.lit(": "), message)
 
 
 def safe_name(c: Column) -> Column:
-    """Whether an object's name is relative, without parent steps, backslashes or NUL, and at most 512 long."""
-    return (c != "") & ~c.startswith("/") & ~c.contains("\\") & ~c.contains("\u0000") & (F.length(c) <= 512) & ~F.exists(F.split(c, "/"), lambda p: p == "..")
+    """Whether an object's name is relative, without empty, ``.`` and ``..`` parts, backslashes or NUL, and at most 512 long; null is not."""
+    ok = (c != "") & ~c.contains("\\") & ~c.contains("\u0000") & (F.length(c) <= 512) & ~F.exists(F.split(c, "/"), lambda p: p.isin("", ".", ".."))
+    return F.coalesce(ok, F.lit(False))
 
 
 def image_type(content: Column) -> Column:
@@ -103,6 +117,17 @@ def image_type(content: Column) -> Column:
     return F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpg").when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "webp")
 
 
+#: A contents line's last number, after spaces, dot leaders or dashes, or in brackets.
+PAGE = r"(?i)^(.*?\S)[\s.·…•_—–-]*\s+\(?([0-9]{1,4}|[ivxlcdm]{1,7})\)?$"
+
+
 def trailing_page(c: Column) -> Column:
-    """The page number that ends a contents line: up to four digits or a roman numeral, else ''."""
-    return F.regexp_extract(c, r"(?i)^.*?\S[\s.…·]+([0-9]{1,4}|[ivxlc]+)$", 1)
+    """The page number that ends a contents line: up to four digits or a roman numeral; '' if there is none or if it is a part's own number ("Part II")."""
+    page = F.regexp_extract(c, PAGE, 2)
+    own = page.rlike("(?i)^[ivxlcdm]+$") & F.regexp_extract(c, PAGE, 1).rlike(r"(?i)\b(chapter|part|appendix|volume)$")
+    return F.when(own, "").otherwise(page)
+
+
+def without_page(c: Column) -> Column:
+    """A contents line without its page number."""
+    return F.when(trailing_page(c) != "", F.trim(F.regexp_extract(c, PAGE, 1))).otherwise(c)

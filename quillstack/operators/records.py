@@ -26,12 +26,21 @@ def alive(sessions: DataFrame, now: Column, days: int = 30) -> DataFrame:
 
 
 def free_slug(wanted: DataFrame, taken: DataFrame) -> DataFrame:
-    """base, slug: the base itself, or base-i with the smallest free i from 2."""
-    used = wanted.join(taken.withColumnRenamed("slug", "_s"), (F.col("_s") == F.col("base")) | F.col("_s").startswith(F.concat(F.col("base"), F.lit("-"))), "left")
-    listed = used.groupBy("base").agg(F.collect_set("_s").alias("_taken"))
-    options = F.transform(F.sequence(F.lit(2), F.size("_taken") + 2), lambda i: F.concat(F.col("base"), F.lit("-"), i.cast("string")))
-    free = F.element_at(F.filter(options, lambda o: ~F.array_contains("_taken", o)), 1)
-    return listed.select("base", F.when(F.array_contains("_taken", F.col("base")), free).otherwise(F.col("base")).alias("slug"))
+    """base, slug: the base itself, or base-i with the smallest free i from 2.
+
+    A taken slug is joined to the bases that it can stand for, itself and itself
+    without its number, by equality.  The smallest gap is found by numbering the
+    taken numbers of a base: the first that is above its place leaves one free.
+    """
+    number = F.regexp_extract("slug", "^(.*)-([1-9][0-9]{0,8})$", 2)
+    own = taken.select(F.col("slug").alias("base"), F.lit(1).alias("i"))
+    counted = taken.where(number != "").select(F.regexp_extract("slug", "^(.*)-([1-9][0-9]{0,8})$", 1).alias("base"), number.cast("int").alias("i")).where("i >= 2")
+    used = wanted.select("base").distinct().join(own.unionByName(counted).distinct(), "base")
+    run = Window.partitionBy("base").orderBy("i")
+    full = used.where("i >= 2").withColumn("_n", F.row_number().over(run) + 1).where("i = _n").groupBy("base").agg(F.max("i").alias("_full"))
+    held = used.where("i = 1").select("base", F.lit(True).alias("_held"))
+    free = F.concat("base", F.lit("-"), (F.coalesce("_full", F.lit(1)) + 1).cast("string"))
+    return wanted.join(held, "base", "left").join(full, "base", "left").select("base", F.when(F.col("_held"), free).otherwise(F.col("base")).alias("slug"))
 
 
 def numbered_slugs(df: DataFrame, base: str, group: list, order: list) -> DataFrame:
@@ -82,8 +91,7 @@ def first_wins(terms: DataFrame, key: str, expansion: str, order: str) -> DataFr
 
 
 def conflicts(terms: DataFrame, key: str, expansion: str, order: str) -> DataFrame:
-    """key, kept, others: keys with conflicting definitions, the others joined in order of first sight."""
+    """key, kept, others: keys with conflicting definitions, the others joined in the order they were met, repeats too."""
     judged = first_wins(terms, key, expansion, order).where("verdict = 'conflict'")
-    seen = judged.groupBy(key, "kept_expansion", expansion).agg(F.min(order).alias("_o"))
-    listed = F.array_sort(F.collect_list(F.struct("_o", F.col(expansion).alias("e"))))
-    return seen.groupBy(key, F.col("kept_expansion").alias("kept")).agg(F.array_join(F.transform(listed, lambda x: x["e"]), "; ").alias("others"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(expansion).alias("e"))))
+    return judged.groupBy(key, F.col("kept_expansion").alias("kept")).agg(F.array_join(F.transform(listed, lambda x: x["e"]), "; ").alias("others"))

@@ -65,20 +65,29 @@ def duplicate_titles(df: DataFrame, group: list[str], title: str, order: list[st
 def match_sections(old: DataFrame, new: DataFrame) -> DataFrame:
     """old_id, new_id, how: by title and occurrence, by place where chapters are as long, to the chapter's or the book's start.
 
-    old and new: book, chapter, id, title, sort_order.
+    old and new: book, chapter, chapter_order, id, title, sort_order (in reading
+    order inside the chapter).  The book's start is the first section of its
+    first chapter that has one.  Null chapters and titles match their like.
     """
 
     def placed(df: DataFrame) -> DataFrame:
         same = Window.partitionBy("book", "chapter", "title").orderBy("sort_order")
         chapter = Window.partitionBy("book", "chapter").orderBy("sort_order")
-        return df.select("book", "chapter", "id", "title", F.row_number().over(same).alias("nth"), F.row_number().over(chapter).alias("place"), F.count("*").over(Window.partitionBy("book", "chapter")).alias("size"), "sort_order")
-
-    o, n = placed(old), placed(new)
-    by_title = n.select("book", "chapter", "title", "nth", F.col("id").alias("t"))
-    by_place = n.select("book", "chapter", "place", "size", F.col("id").alias("p"))
-    by_chapter = n.where("place = 1").select("book", "chapter", F.col("id").alias("c"))
-    by_book = n.groupBy("book").agg(F.min(F.struct("sort_order", "id"))["id"].alias("b"))
-    found = o.join(by_title, ["book", "chapter", "title", "nth"], "left").join(by_place, ["book", "chapter", "place", "size"], "left").join(by_chapter, ["book", "chapter"], "left").join(by_book, "book", "left")
+        return df.select("book", "chapter", "id", "title", F.row_number().over(same).alias("nth"), F.row_number().over(chapter).alias("place"), F.count("*").over(Window.partitionBy("book", "chapter")).alias("size"), "chapter_order", "sort_order")
+
+    def joined(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
+        """right's id as value where all keys are equal, nulls too."""
+        named = right.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("id").alias(value))
+        match = F.lit(True)
+        for k in keys:
+            match = match & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        return left.join(named, match, "left").drop(*[f"_{k}" for k in keys])
+
+    n = placed(new)
+    found = joined(placed(old), n, ["book", "chapter", "title", "nth"], "t")
+    found = joined(found, n, ["book", "chapter", "place", "size"], "p")
+    found = joined(found, n.where("place = 1"), ["book", "chapter"], "c")
+    found = joined(found, n.groupBy("book").agg(F.min(F.struct("chapter_order", "sort_order", "id"))["id"].alias("id")), ["book"], "b")
     how = F.when(F.col("t").isNotNull(), "title").when(F.col("p").isNotNull(), "place").when(F.col("c").isNotNull(), "chapter").when(F.col("b").isNotNull(), "book").otherwise("lost")
     return found.select(F.col("id").alias("old_id"), F.coalesce("t", "p", "c", "b").alias("new_id"), how.alias("how"))
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def _recursive(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
-    """Recursive SQL without the row limit meant for queries that may never end; trees do."""
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(sql, **frames)
+    """Recursive SQL without the limits meant for queries that may never end; trees of any depth and size do."""
+    if spark.conf.get("spark.sql.cteRecursionRowLimit") != "-1":
+        spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # there is no such clause in SQL
+    return spark.sql(re.sub(r"(WITH RECURSIVE [^)]*\)) AS", r"\1 MAX RECURSION LEVEL 1000000 AS", sql, count=1), **frames)
 
 
 def first_per_group(df: DataFrame, group: list, order: list) -> DataFrame:
@@ -38,16 +41,8 @@ def visible_sections(sections: DataFrame, books: DataFrame, editor: bool = False
 
 def is_visible(sections: DataFrame, books: DataFrame, ids: DataFrame) -> DataFrame:
     """id, visible for asked ids: every section up to the root and the book are published; unknown ids are not."""
-    up = _recursive(
-        sections.sparkSession,
-        """WITH RECURSIVE up(asked, id, parent_id, ok, book) AS (
-             SELECT a.id, s.id, s.parent_id, s.status = 'published', s.book FROM {asked} a JOIN {sections} s ON s.id = a.id
-             UNION ALL
-             SELECT u.asked, s.id, s.parent_id, s.status = 'published', u.book FROM {sections} s JOIN up u ON s.id = u.parent_id)
-           SELECT u.asked AS id, bool_and(u.ok AND b.status = 'published') AS ok FROM up u JOIN {books} b ON b.book = u.book GROUP BY u.asked""",
-        asked=ids, sections=sections.select("id", "parent_id", "status", "book"), books=books,
-    )
-    return ids.join(up, "id", "left").select("id", F.coalesce("ok", F.lit(False)).alias("visible"))
+    shown = visible_sections(sections, books).select("id", F.lit(True).alias("_ok"))
+    return ids.join(shown, "id", "left").select("id", F.coalesce("_ok", F.lit(False)).alias("visible"))
 
 
 def outline(sections: DataFrame) -> DataFrame:
@@ -64,17 +59,20 @@ def outline(sections: DataFrame) -> DataFrame:
 
 
 def breadcrumbs(sections: DataFrame, ids: DataFrame) -> DataFrame:
-    """asked, level, id, title: the ancestors of each asked section and itself, from the root (level 0) down."""
-    up = _recursive(
+    """asked, level, id, title: the ancestors of each asked section and itself, from the root (level 0) down.
+
+    One walk from the roots carries each section's path, whatever the number of asked ones.
+    """
+    down = _recursive(
         sections.sparkSession,
-        """WITH RECURSIVE up(asked, id, parent_id, title, lvl) AS (
-             SELECT a.id, s.id, s.parent_id, s.title, 0 FROM {asked} a JOIN {sections} s ON s.id = a.id
+        """WITH RECURSIVE walk(id, path) AS (
+             SELECT id, array(named_struct('id', id, 'title', title)) FROM {sections} WHERE parent_id IS NULL
              UNION ALL
-             SELECT u.asked, s.id, s.parent_id, s.title, u.lvl + 1 FROM {sections} s JOIN up u ON s.id = u.parent_id)
-           SELECT * FROM up""",
-        asked=ids, sections=sections.select("id", "parent_id", "title"),
-    )
-    return up.select("asked", (F.max("lvl").over(Window.partitionBy("asked")) - F.col("lvl")).alias("level"), "id", "title")
+             SELECT s.id, array_append(w.path, named_struct('id', s.id, 'title', s.title)) FROM {sections} s JOIN walk w ON s.parent_id = w.id)
+           SELECT * FROM walk""",
+        sections=sections.select("id", "parent_id", "title"),
+    )
+    return down.join(ids, "id").select(F.col("id").alias("asked"), F.posexplode("path").alias("level", "_s")).select("asked", "level", "_s.id", "_s.title")
 
 
 def neighbours(ordered: DataFrame, group: list[str], order: list, key: str = "id") -> DataFrame:

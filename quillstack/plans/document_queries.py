@@ -46,12 +46,12 @@ def term_lines(spark, d):
 def _contents_lines(part, number):
     """A contents line for each part, whose printed page is number."""
     size, page = F.col("p_size"), F.concat(F.lit(" ..... "), number.cast("string"))
-    line = F.when(size % 4 == 0, F.concat(F.lit("- **Chapter "), size.cast("string"), F.lit("** The "), "p_name", page)).when(size % 4 == 1, F.concat(F.lit("Part IV "), "p_name", page)).when(size % 4 == 2, F.concat(F.lit("<b>Preface</b>"), page)).otherwise(F.concat(F.lit("(untitled)"), page))
+    line = F.when(size % 4 == 0, F.concat(F.lit("- **Chapter "), size.cast("string"), F.lit("** The "), "p_name", page)).when(size % 4 == 1, F.concat(F.lit("Part IV "), "p_name", page)).when(size % 4 == 2, F.concat(F.lit("<b>"), "p_name", F.lit("</b>"), page)).otherwise(F.concat(F.lit("civil "), "p_name", page))
     return part.select("p_partkey", "p_size", line.alias("line"))
 
 
 @query(
-    """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'chapter' WHEN 1 THEN 'part' WHEN 2 THEN 'matter' END AS kind, CASE WHEN p_size % 4 = 0 THEN p_size END AS number, p_partkey::VARCHAR AS page FROM part WHERE p_partkey < 10000"""
+    """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'chapter' WHEN 1 THEN 'part' WHEN 2 THEN 'matter' END AS kind, CASE p_size % 4 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN 'IV' END AS number, p_partkey::VARCHAR AS page FROM part WHERE p_partkey < 10000"""
 )
 def contents_entries(spark, d):
     rows = _contents_lines(L.table(spark, d, "part").where("p_partkey < 10000"), F.col("p_partkey"))
@@ -59,7 +59,7 @@ def contents_entries(spark, d):
 
 
 @query(
-    """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'chapter' WHEN 1 THEN 'part' WHEN 2 THEN 'matter' END AS kind, CASE WHEN p_size % 4 = 0 THEN p_size END AS number, (p_partkey % 10000)::VARCHAR AS page FROM part"""
+    """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'chapter' WHEN 1 THEN 'part' WHEN 2 THEN 'matter' END AS kind, CASE p_size % 4 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN 'IV' END AS number, (p_partkey % 10000)::VARCHAR AS page FROM part"""
 )
 def contents_entries_all(spark, d):
     """contents_entries over every part; a printed page has four digits at most."""
@@ -89,8 +89,15 @@ def best_profile(spark, d):
     return unmangle.best_profile(L.table(spark, d, "documents"), {"the": " the ", "and": " and "})
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE p AS (SELECT DISTINCT user_id AS g, event_id AS e, floor(value * 10)::BIGINT AS h FROM events WHERE value IS NOT NULL),
+step(g, e, h, n) AS (SELECT g, e, h, 1 FROM p UNION ALL SELECT DISTINCT b.g, b.e, b.h, a.n + 1 FROM step a JOIN p b ON a.g = b.g AND a.e < b.e AND a.h < b.h),
+l AS (SELECT g, e, h, max(n) AS n FROM step GROUP BY ALL),
+chain(g, n, x) AS (SELECT g, n, min({'e': e, 'h': h}) FROM l WHERE n = (SELECT max(n) FROM l m WHERE m.g = l.g) GROUP BY g, n
+  UNION ALL SELECT c.g, c.n - 1, min({'e': l.e, 'h': l.h}) FROM chain c JOIN l ON l.g = c.g AND l.n = c.n - 1 AND l.e < c.x.e AND l.h < c.x.h GROUP BY c.g, c.n)
+SELECT g AS book, x.e AS entry, x.h AS heading FROM chain"""
+)
 def anchor_chain(spark, d):
-    """The longest rising chain of (entry, heading) pairs of each user's events; tested against brute force."""
+    """The earliest of the longest rising chains of (entry, heading) pairs of each user's events."""
     e = L.table(workers_import(spark), d, "events").select(F.col("user_id").alias("book"), F.col("event_id").alias("entry"), F.floor(F.col("value") * 10).cast("long").alias("heading")).where("heading is not null")
     return contents.anchor_chain(e)

@@ -113,8 +113,8 @@ def glossary_first_wins(spark, d):
 
 
 @query(
-    """SELECT term, kept, string_agg(p_brand, '; ' ORDER BY o) AS others FROM (SELECT term, kept, p_brand, min(p_partkey) AS o FROM
-  (SELECT lower(p_name) AS term, first(p_brand) OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS kept, p_brand, p_partkey FROM part) WHERE p_brand <> kept GROUP BY ALL) GROUP BY term, kept"""
+    """SELECT term, kept, string_agg(p_brand, '; ' ORDER BY p_partkey) AS others FROM
+  (SELECT lower(p_name) AS term, first(p_brand) OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS kept, p_brand, p_partkey FROM part) WHERE lower(p_brand) <> lower(kept) GROUP BY term, kept"""
 )
 def glossary_conflicts(spark, d):
     return R.conflicts(L.table(spark, d, "part").withColumn("term", F.lower("p_name")), "term", "p_brand", "p_partkey")
@@ -163,12 +163,12 @@ def severity_order_all(spark, d):
     return ranking.numbered(_diagnostics(spark, d).select("event_id", "severity"), [rank, "event_id"])
 
 
-@query(f"WITH {_DIAG} SELECT event_id, rpad(severity, 7, ' ') || ' ' || concat_ws(':', code, user_id::VARCHAR, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR END) || ' ' || coalesce(message, '') AS line FROM diag")
+@query(f"WITH {_DIAG} SELECT event_id, rpad(severity, 7, ' ') || ' ' || code || CASE WHEN event_id % 3 > 0 THEN ' (' || concat_ws(':', 'user' || user_id, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR END) || ')' ELSE '' END || ': ' || coalesce(message, '') AS line FROM diag")
 def diagnostic_lines(spark, d):
     from ..functions.text import diagnostic_line
 
-    g = _diagnostics(spark, d)
-    return g.select("event_id", diagnostic_line(F.col("severity"), F.col("code"), F.col("user_id"), F.when(F.col("event_id") % 2 == 0, F.col("event_id")), F.coalesce("message", F.lit(""))).alias("line"))
+    g, placed = _diagnostics(spark, d), F.col("event_id") % 3 > 0
+    return g.select("event_id", diagnostic_line(F.col("severity"), F.col("code"), F.when(placed, F.concat(F.lit("user"), F.col("user_id").cast("string"))), F.when(placed & (F.col("event_id") % 2 == 0), F.col("event_id")), F.lit(None), F.coalesce("message", F.lit(""))).alias("line"))
 
 
 @query("SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(ts), event_type) AS r FROM events GROUP BY 1, 2) WHERE r = 1")

@@ -77,20 +77,20 @@ def dup_titles(spark, d):
 
 
 _MATCH = """
-WITH placed AS (SELECT id, book, chapter, title, id % 7 <> 3 AS kept FROM sections),
+WITH placed AS (SELECT id, book, chapter, chapter AS chapter_order, title, id % 7 <> 3 AS kept FROM sections),
 o AS (SELECT *, row_number() OVER (PARTITION BY book, chapter, title ORDER BY id) AS nth, row_number() OVER (PARTITION BY book, chapter ORDER BY id) AS place, count(*) OVER (PARTITION BY book, chapter) AS size FROM placed),
 n AS (SELECT *, row_number() OVER (PARTITION BY book, chapter, title ORDER BY id) AS nth, row_number() OVER (PARTITION BY book, chapter ORDER BY id) AS place, count(*) OVER (PARTITION BY book, chapter) AS size FROM placed WHERE kept),
 m AS (SELECT o.id AS old_id, t.id AS t, p.id AS p, c.id AS c, b.b FROM o
-  LEFT JOIN n t ON t.book = o.book AND t.chapter = o.chapter AND t.title = o.title AND t.nth = o.nth
-  LEFT JOIN n p ON p.book = o.book AND p.chapter = o.chapter AND p.place = o.place AND p.size = o.size
-  LEFT JOIN n c ON c.book = o.book AND c.chapter = o.chapter AND c.place = 1
-  LEFT JOIN (SELECT book, min(id) AS b FROM n GROUP BY book) b ON b.book = o.book),
+  LEFT JOIN n t ON t.book IS NOT DISTINCT FROM o.book AND t.chapter IS NOT DISTINCT FROM o.chapter AND t.title IS NOT DISTINCT FROM o.title AND t.nth = o.nth
+  LEFT JOIN n p ON p.book IS NOT DISTINCT FROM o.book AND p.chapter IS NOT DISTINCT FROM o.chapter AND p.place = o.place AND p.size = o.size
+  LEFT JOIN n c ON c.book IS NOT DISTINCT FROM o.book AND c.chapter IS NOT DISTINCT FROM o.chapter AND c.place = 1
+  LEFT JOIN (SELECT DISTINCT ON (book) book, id AS b FROM n ORDER BY book, chapter_order NULLS FIRST, id) b ON b.book IS NOT DISTINCT FROM o.book),
 r AS (SELECT old_id, coalesce(t, p, c, b) AS new_id, CASE WHEN t IS NOT NULL THEN 'title' WHEN p IS NOT NULL THEN 'place' WHEN c IS NOT NULL THEN 'chapter' WHEN b IS NOT NULL THEN 'book' ELSE 'lost' END AS how FROM m)
 """
 
 
 def _matched(spark, d):
-    s = L.sections(spark, d).select("book", "chapter", "id", "title", "sort_order")
+    s = L.sections(spark, d).select("book", "chapter", F.col("chapter").alias("chapter_order"), "id", "title", "sort_order")
     return T.match_sections(s, s.where("id % 7 <> 3"))
 
 

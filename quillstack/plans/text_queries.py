@@ -98,9 +98,9 @@ def path_parts(spark, d):
     return L.table(spark, d, "pages").select("page_id", X.base_name(F.col("url")).alias("base"), X.dir_name(F.col("url")).alias("dir"))
 
 
-@query("SELECT doc_id, n = 'a/b' AS safe FROM (SELECT doc_id, ['a/b', '../x', '/abs', 'a\\b', ''][doc_id % 5 + 1] AS n FROM documents)")
+@query("SELECT doc_id, n = 'a/b' AS safe FROM (SELECT doc_id, ['a/b', '../x', '/abs', 'a\\b', '', 'a//b', './a', 'a/.'][doc_id % 8 + 1] AS n FROM documents)")
 def safe_names(spark, d):
-    name = F.element_at(F.array(*[F.lit(x) for x in ("a/b", "../x", "/abs", "a\\b", "")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    name = F.element_at(F.array(*[F.lit(x) for x in ("a/b", "../x", "/abs", "a\\b", "", "a//b", "./a", "a/.")]), (F.col("doc_id") % 8 + 1).cast("int"))
     return L.table(spark, d, "documents").select("doc_id", X.safe_name(name).alias("safe"))
 
 
