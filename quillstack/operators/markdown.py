@@ -1,71 +1,188 @@
-"""Markdown pages to typed blocks, as windows over lines.
+"""Markdown pages to typed blocks: what each line is by one pass over a page, blocks by windows over the lines.
 
-pages: page_id, source.  A line is in a fence when an odd number of fence lines
-stands before it; runs of neighbours of one kind are blocks.  Inline markup is
-kept as it is written.
+pages: page_id, source.  The pass holds a page's state (open fence, list,
+table, HTML); all that follows is DataFrame operations.  Inline markup is kept
+as it is written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterator
+from functools import cache
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FENCE = r"^\s{0,3}(```+|~~~+)"
+_OPEN = re.compile(r" {0,3}(`{3,}(?![^\n]*`)|~{3,})")
+_ITEM = re.compile(r"( {0,3})(?:[-*+]|[0-9]{1,9}[.)])(?:\s|$)")
+_DELIMITER = re.compile(r"\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
+_ONE_LINE = [
+    ("heading", re.compile(r" {0,3}#{1,6}(\s|$)")),
+    ("thematic_break", re.compile(r" {0,3}([-*_])\s*(\1\s*){2,}$")),
+    ("footnote", re.compile(r" {0,3}\[\^[^\]]+\]:")),
+    ("definition", re.compile(r" {0,3}\[[^\]]+\]:")),
+    ("image", re.compile(r" {0,3}!\[[^\]]*\]\([^)]*\)\s*$")),
+]
+#: HTML that may stand right behind a paragraph: block elements and comments.
+_BLOCK_HTML = re.compile(
+    r" {0,3}<(?:!--|/?(?:address|article|aside|blockquote|body|center|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|iframe|legend|li|link|main|menu|nav|ol|option|p|pre|script|section|style|summary|table|tbody|td|tfoot|th|thead|title|tr|ul)\b)",
+    re.IGNORECASE,
+)
+_QUOTE, _HTML = re.compile(r" {0,3}>"), re.compile(r" {0,3}<[/!?a-zA-Z]")
 
 
-def lines(pages: DataFrame) -> DataFrame:
-    """page_id, line_no, line, kind: what each line is by itself and by the fences around it."""
-    each = pages.select("page_id", F.posexplode(F.split(F.regexp_replace("source", "\r\n?", "\n"), "\n")).alias("line_no", "line"))
-    w = Window.partitionBy("page_id").orderBy("line_no")
-    fence = F.col("line").rlike(FENCE)
-    before = F.coalesce(F.sum(F.when(fence, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = before % 2 == 1
-    line = F.col("line")
-    kind = (
-        F.when(inside | fence, "code")
-        .when(F.trim(line) == "", "blank")
-        .when(line.rlike(r"^\s{0,3}#{1,6}(\s|$)"), "heading")
-        .when(line.rlike(r"^\s{0,3}([-*_])\s*(\1\s*){2,}$"), "thematic_break")
-        .when(line.rlike(r"^\s{0,3}>"), "blockquote")
-        .when(line.rlike(r"^\s{0,3}\|.*\|\s*$"), "table")
-        .when(line.rlike(r"^\s{0,3}([-*+]|[0-9]{1,9}[.)])\s"), "list")
-        .when(line.rlike(r"^\s{0,3}\[\^[^\]]+\]:"), "footnote")
-        .when(line.rlike(r"^\s{0,3}\[[^\]]+\]:"), "definition")
-        .when(line.rlike(r"^\s{0,3}<[/!?a-zA-Z]"), "html")
-        .when(line.rlike(r"^\s{0,3}!\[[^\]]*\]\([^)]*\)\s*$"), "image")
-        .otherwise("paragraph")
-    )
-    return each.withColumns({"fence": fence, "opens": fence & ~inside, "kind": kind})
+def _cells(line: str) -> int:
+    return len(re.sub(r"\\\|", "", line).strip().strip("|").split("|"))
 
 
-def blocks(pages: DataFrame) -> DataFrame:
-    """page_id, sort_order, block_type, start_line, end_line, markdown, lang, level: nothing but blank lines is dropped.
+def line_kinds(lines: list[str]) -> list[tuple[str, bool]]:
+    """Kind of each line, and whether a block begins with it.
 
-    Headings, breaks, images, definitions and footnotes are one line each; a list goes on over indented lines.
+    A fence is closed by its own character, at least as often.  A list goes on
+    over indented lines, and over plain ones right behind it; indented code needs
+    a line before it that is no paragraph; a table has a row of dashes under its
+    header, with as many cells; a row of = or - under a paragraph makes it a heading.
     """
+    out: list[tuple[str, bool]] = []
+    fence, kind, blank, para = "", "blank", True, 0  # para: where the open paragraph began
+    for i, line in enumerate(lines):
+        before, was_blank = kind, blank
+        indent = len(line.expandtabs(4)) - len(line.expandtabs(4).lstrip())
+        blank = not line.strip()
+        if fence:
+            out.append(("code", False))
+            if re.match(r" {0,3}" + re.escape(fence[0]) + "{%d,}\\s*$" % len(fence), line):
+                fence, kind = "", "code"
+            continue
+        if blank:
+            out.append(("blank", True))
+            if kind not in ("list", "indented"):
+                kind = "blank"
+            continue
+        single = next((k for k, r in _ONE_LINE if r.match(line)), None)
+        if before == "list" and indent >= 2:
+            out.append(("list", False))
+        elif (m := _OPEN.match(line)) and indent < 4:
+            fence, kind = m.group(1), "code"
+            out.append(("code", True))
+        elif before == "paragraph" and re.match(r" {0,3}(=+|-+)\s*$", line):
+            for j in range(para, i):
+                out[j] = ("heading", j == para)
+            out.append(("heading", False))
+            kind = "blank"
+        elif indent >= 4 and before not in ("paragraph", "list"):
+            kind = "indented"
+            out.append(("code", before != "indented"))
+        elif single:
+            kind = single
+            out.append((single, True))
+        elif _QUOTE.match(line):
+            kind = "blockquote"
+            out.append(("blockquote", before != "blockquote"))
+        elif _ITEM.match(line):
+            kind = "list"
+            out.append(("list", before != "list"))
+        elif before == "table":
+            out.append(("table", False))
+        elif "|" in line and i + 1 < len(lines) and _DELIMITER.match(lines[i + 1]) and _cells(line) == _cells(lines[i + 1]):
+            kind = "table"
+            out.append(("table", True))
+        elif before == "html" or (before == "paragraph" and not _BLOCK_HTML.match(line)):
+            out.append((before, False))
+        elif before in ("list", "blockquote") and not was_blank:  # a paragraph that goes on without its mark
+            out.append((before, False))
+        elif _HTML.match(line):
+            kind = "html"
+            out.append(("html", True))
+        else:
+            kind, para = "paragraph", i
+            out.append(("paragraph", True))
+    return out
+
+
+@cache
+def _kinds():
+    @F.pandas_udf("array<struct<line: string, kind: string, start: boolean>>")
+    def kinds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            pages = (re.sub("\r\n?", "\n", x).split("\n") if x is not None else [] for x in s)
+            yield pd.Series([[{"line": t, "kind": k, "start": b} for t, (k, b) in zip(page, line_kinds(page), strict=True)] for page in pages], index=s.index)
+
+    return kinds.asNondeterministic()  # or the filter that Spark puts before the explode would run it once more
+
+
+def lines(pages: DataFrame) -> DataFrame:
+    """page_id, line_no, line, kind, start: what each line is, and whether a block begins there. Null pages have no line."""
+    return pages.select("page_id", F.posexplode(_kinds()("source")).alias("line_no", "_l")).select("page_id", "line_no", "_l.line", "_l.kind", "_l.start")
+
+
+def blocks(pages: DataFrame) -> DataFrame:
+    """page_id, sort_order, block_type, start_line, end_line, markdown, lang, level: nothing but blank lines between blocks is dropped."""
     w = Window.partitionBy("page_id").orderBy("line_no")
-    single = F.col("kind").isin("heading", "thematic_break", "image", "definition", "footnote")
-    kind = F.when((F.col("kind") == "paragraph") & F.col("line").rlike(r"^\s{2,}\S") & (F.lag("kind").over(w) == "list"), "list").otherwise(F.col("kind"))
-    typed = lines(pages).withColumn("kind", kind)
-    start = (F.lag("kind").over(w).isNull()) | (F.col("kind") != F.lag("kind").over(w)) | single | F.col("opens")
-    runs = typed.withColumn("run", F.sum(F.when(start, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("kind <> 'blank'")
-    listed = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    joined = runs.groupBy("page_id", "run", F.col("kind").alias("block_type")).agg(
-        F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("markdown")
-    )
+    # Blank lines inside a list or code block belong to it if more of it follows; they are kept where its lines are put together.
+    begins = F.col("start") & (F.col("kind") != "blank")
+    runs = lines(pages).withColumn("run", F.sum(F.when(begins, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    typed = runs.groupBy("page_id", "run").agg(
+        F.min(F.when(F.col("kind") != "blank", F.col("line_no"))).alias("start_line"), F.max(F.when(F.col("kind") != "blank", F.col("line_no"))).alias("end_line"),
+        F.min_by("kind", F.when(F.col("kind") != "blank", F.col("line_no"))).alias("block_type"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"),
+    ).where("start_line is not null")
+    inside = F.filter("_l", lambda x: (x["line_no"] >= F.col("start_line")) & (x["line_no"] <= F.col("end_line")))
+    joined = typed.withColumn("markdown", F.array_join(F.transform(inside, lambda x: x["line"]), "\n"))
     first = F.substring_index("markdown", "\n", 1)
-    lang = F.when(F.col("block_type") == "code", F.nullif(F.lower(F.regexp_extract(first, r"^\s*[`~]+\s*\{?\.?(?:language-)?([\w+#-]*)", 1)), F.lit("")))
-    level = F.when(F.col("block_type") == "heading", F.length(F.regexp_extract(first, "^\\s*(#+)", 1)))
+    lang = F.when(F.col("block_type") == "code", F.nullif(F.lower(F.regexp_extract(first, r"^\s*(?:```+|~~~+)\s*\{?\.?(?:language-)?([\w+#-]*)", 1)), F.lit("")))
+    marks = F.length(F.regexp_extract(first, r"^\s*(#+)(?:\s|$)", 1))
+    level = F.when(F.col("block_type") == "heading", F.when(marks > 0, marks).when(F.substring_index("markdown", "\n", -1).contains("="), 1).otherwise(2))
     order = (F.row_number().over(Window.partitionBy("page_id").orderBy("run")) - 1).alias("sort_order")
     return joined.select("page_id", order, "block_type", "start_line", "end_line", "markdown", lang.alias("lang"), level.alias("level"))
 
 
+def with_captions(blocks: DataFrame) -> DataFrame:
+    """blocks with caption: a paragraph of nothing but emphasis right behind an image is its caption, and no block any more."""
+    w = Window.partitionBy("page_id").orderBy("sort_order")
+    said = F.regexp_extract("markdown", r"^\s*(?:\*([^*\n]+)\*|_([^_\n]+)_)\s*$", 0)
+    text = F.trim(F.regexp_replace(said, r"^\s*[*_]|[*_]\s*$", ""))
+    caption = F.when((F.col("block_type") == "paragraph") & (said != ""), text)
+    marked = blocks.withColumns({"_c": caption, "_after": F.lag("block_type").over(w)})
+    return marked.withColumn("caption", F.when(F.col("block_type") == "image", F.lead("_c").over(w))).where(F.col("_c").isNull() | ~F.col("_after").eqNullSafe(F.lit("image"))).drop("_c", "_after")
+
+
+def table_rows(blocks: DataFrame) -> DataFrame:
+    """page_id, sort_order, row (0: the header), cells of every table; an escaped bar is part of its cell."""
+    rows = F.filter(F.split("markdown", "\n"), lambda r, i: i != 1)
+    body = lambda r: F.regexp_replace(F.regexp_replace(F.trim(r), r"^\|", ""), r"(?<!\\)\|$", "")
+    cells = F.transform(rows, lambda r: F.transform(F.split(body(r), r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|"))))
+    return blocks.where("block_type = 'table'").select("page_id", "sort_order", F.posexplode(cells).alias("row", "cells"))
+
+
+def plain_text(markdown: Column) -> Column:
+    """A block's text for search: links and images by their words, emphasis, code marks, list, quote and heading marks dropped; HTML stays."""
+    t = F.regexp_replace(markdown, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
+    t = F.regexp_replace(t, r"(?m)^\s{0,3}(?:#{1,6}\s+|>\s?|[-*+]\s+|[0-9]{1,9}[.)]\s+)", "")
+    t = F.regexp_replace(t, r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1", "$2")
+    t = F.regexp_replace(t, r"(?<![\w*])[*_](?=\S)([^*_\n]+?)(?<=\S)[*_](?![\w*])", "$1")
+    t = F.regexp_replace(t, r"(?m)^\s{0,3}(?:```+|~~~+).*$\n?", "")
+    return F.trim(F.regexp_replace(t, "`([^`\n]+)`", "$1"))
+
+
+def positional_ids(blocks: DataFrame, group: str = "section") -> DataFrame:
+    """blocks with element_id: ``section.b3`` by place among its blocks, ``section.code2`` for code by place among its code."""
+    w = Window.partitionBy(group).orderBy("sort_order")
+    code = F.col("block_type") == "code"
+    place = F.when(code, F.concat(F.lit(".code"), F.count_if(code).over(w).cast("string"))).otherwise(F.concat(F.lit(".b"), F.row_number().over(w).cast("string")))
+    return blocks.withColumn("element_id", F.concat(F.col(group), place))
+
+
 def code_blocks(blocks: DataFrame) -> DataFrame:
     """The code blocks with whether they close, and the paragraphs just before and after."""
     w = Window.partitionBy("page_id").orderBy("sort_order")
     beside = F.when(F.col("block_type") == "paragraph", F.col("markdown"))
     named = blocks.withColumns({"lead_in": F.lag(beside).over(w), "follow_up": F.lead(beside).over(w)}).where("block_type = 'code'")
-    closed = (F.col("end_line") > F.col("start_line")) & F.substring_index("markdown", "\n", -1).rlike(FENCE + r"\s*$")
+    mark = F.regexp_extract(F.substring_index("markdown", "\n", 1), FENCE, 1)
+    last = F.trim(F.substring_index("markdown", "\n", -1))
+    closed = (F.col("end_line") > F.col("start_line")) & (mark != "") & last.startswith(mark) & last.rlike("^(`+|~+)$")
     return named.withColumn("closed", closed)
 
 

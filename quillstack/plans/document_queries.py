@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import contents, markdown, unmangle
@@ -12,7 +13,7 @@ from .registry import query
 
 def _pages(spark, d):
     """A page a document: its lines become headings, lists, quotes, fences, blanks and paragraphs in turn."""
-    doc = L.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    doc = L.table(workers_import(spark), d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     k = F.pmod(F.col("i") + F.col("doc_id"), F.lit(7))
     line = F.regexp_replace("line", r"[^a-zA-Z ,.]", "x")
     made = F.when(k == 0, F.concat(F.lit("## "), line)).when(k == 1, F.concat(F.lit("- "), line)).when(k == 2, F.concat(F.lit("> "), line)).when(k == 3, F.concat(F.lit("```rust\n"), line, F.lit("\n\n```"))).when(k == 4, F.lit("")).otherwise(F.concat(F.lit("p "), line))
@@ -25,9 +26,41 @@ k AS (SELECT page_id, i, CASE (i + page_id) % 7 WHEN 0 THEN 'heading' WHEN 1 THE
 b AS (SELECT page_id, i, t, CASE WHEN t = 'paragraph' AND lag(t) OVER (PARTITION BY page_id ORDER BY i) = 'paragraph' THEN 0 ELSE 1 END AS s FROM k)"""
 
 
-@query(f"{_PARTS} SELECT page_id, t AS block_type, sum(s)::BIGINT AS n FROM b WHERE t <> 'blank' GROUP BY ALL")
+@query(f"""{_PARTS},
+m AS (SELECT b.page_id, b.i, b.t, sum(b.s) OVER (PARTITION BY b.page_id ORDER BY b.i) AS run, regexp_replace(x.line, '[^a-zA-Z ,.]', 'x', 'g') AS line FROM b JOIN (SELECT doc_id AS page_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) x USING (page_id, i)),
+g AS (SELECT page_id, run, t AS block_type, string_agg(CASE t WHEN 'heading' THEN '## ' || line WHEN 'list' THEN '- ' || line WHEN 'blockquote' THEN '> ' || line WHEN 'code' THEN '```rust' || chr(10) || line || chr(10) || chr(10) || '```' ELSE 'p ' || line END, chr(10) ORDER BY i) AS markdown FROM m WHERE t <> 'blank' GROUP BY ALL)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY run) - 1 AS sort_order, block_type, markdown FROM g""")
 def markdown_blocks(spark, d):
-    return markdown.blocks(_pages(spark, d)).groupBy("page_id", "block_type").agg(F.count("*").alias("n"))
+    """Whole blocks with their text."""
+    return markdown.blocks(_pages(spark, d)).select("page_id", "sort_order", "block_type", "markdown")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
+SELECT doc_id AS page_id, i AS place, 'f' || regexp_replace(line, '[^a-zA-Z ,.]', 'x', 'g') AS caption FROM l WHERE i % 2 = 1""")
+def image_captions(spark, d):
+    """Images with a line of emphasis behind them every second time."""
+    l = L.table(workers_import(spark), d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    line = F.regexp_replace("line", r"[^a-zA-Z ,.]", "x")
+    source = F.concat(F.lit("![a](b"), F.col("i").cast("string"), F.lit(".png)\n\n"), F.when(F.col("i") % 2 == 1, F.concat(F.lit("*f"), line, F.lit("*"))).otherwise(F.concat(F.lit("f"), line)))
+    pages = l.select(F.struct("doc_id", "i").alias("page_id"), source.alias("source"))
+    return markdown.with_captions(markdown.blocks(pages)).where("caption is not null").select("page_id.doc_id", F.col("page_id.i").alias("place"), "caption").withColumnRenamed("doc_id", "page_id")
+
+
+@query("SELECT p_partkey, row_id AS row, CASE row_id WHEN 0 THEN 'Name' ELSE p_name || '|' || p_size END AS first, CASE row_id WHEN 0 THEN 'Brand' ELSE p_brand END AS second FROM part, (VALUES (0), (1)) r(row_id)")
+def table_cells(spark, d):
+    """Tables with and without bars at the ends, with escaped bars in their cells."""
+    bar = F.when(F.col("p_size") % 2 == 0, "|").otherwise("")
+    source = F.concat(bar, F.lit(" Name | Brand "), bar, F.lit("\n"), bar, F.lit("---|:--:"), bar, F.lit("\n"), bar, "p_name", F.lit("\\|"), F.col("p_size").cast("string"), F.lit(" | "), "p_brand", bar)
+    pages = L.table(workers_import(spark), d, "part").select(F.col("p_partkey").alias("page_id"), source.alias("source"))
+    return markdown.table_rows(markdown.blocks(pages)).select(F.col("page_id").alias("p_partkey"), "row", F.col("cells")[0].alias("first"), F.col("cells")[1].alias("second"))
+
+
+@query("SELECT p_partkey, p_name || ' and ' || p_brand || ' of ' || p_type AS text, 's' || p_brand || '.b' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS element_id FROM part")
+def plain_texts(spark, d):
+    p = L.table(spark, d, "part")
+    md = F.concat(F.lit("## **"), "p_name", F.lit("** and [*"), "p_brand", F.lit("*](x) of `"), "p_type", F.lit("`"))
+    rows = p.select("p_partkey", F.col("p_partkey").alias("sort_order"), F.lit("heading").alias("block_type"), F.concat(F.lit("s"), "p_brand").alias("section"), markdown.plain_text(md).alias("text"))
+    return markdown.positional_ids(rows).select("p_partkey", "text", "element_id")
 
 
 @query(f"{_PARTS} SELECT page_id, count(*) AS n, count(*) AS closed, min('rust') AS lang FROM b WHERE t = 'code' GROUP BY page_id")
@@ -38,7 +71,7 @@ def code_index(spark, d):
 
 @query("SELECT p_partkey, p_name AS term, p_brand AS expansion, p_size % 5 > 0 AS valid FROM part")
 def term_lines(spark, d):
-    p = L.table(spark, d, "part")
+    p = L.table(workers_import(spark), d, "part")
     pages = p.select(F.col("p_partkey").alias("page_id"), F.concat("p_name", F.lit(" → "), "p_brand", F.when(F.col("p_size") % 5 == 0, F.lit(" → again")).otherwise("")).alias("source"))
     return markdown.terms(markdown.blocks(pages)).select(F.col("page_id").alias("p_partkey"), "term", "expansion", "valid")
 
@@ -67,6 +100,20 @@ def contents_entries_all(spark, d):
     return contents.entries(rows).select("p_partkey", "kind", "number", "page")
 
 
+@query("""WITH p AS (SELECT o_custkey AS book, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+SELECT book, n AS place, CASE WHEN n % 4 = 0 THEN 'part' ELSE 'chapter' END AS kind, CASE WHEN n % 4 = 0 THEN n ELSE n - n // 4 END::VARCHAR AS number, o_orderkey::VARCHAR || 'x' AS title, (n * 3)::VARCHAR AS page FROM p""")
+def contents_read(spark, d):
+    """Each customer's orders as a contents list over pages of five lines, a part after every third chapter, each entry told twice."""
+    o = L.table(spark, d, "orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).select(F.col("o_custkey").alias("book"), "n", F.col("o_orderkey").cast("string").alias("k"))
+    n = F.col("n").cast("string")
+    part = F.concat(F.lit("Part "), n, F.lit(": "), "k", F.lit("x"))
+    chapter = F.concat(F.lit("Chapter "), (F.col("n") - F.floor(F.col("n") / 4)).cast("string"), F.lit(" - "), "k", F.lit("x"))
+    line = F.concat(F.when(F.col("n") % 4 == 0, part).otherwise(chapter), F.lit(" . . . . "), (F.col("n") * 3).cast("string"))
+    twice = o.select("book", F.explode(F.array(F.lit(0), F.lit(1))).alias("t"), "n", line.alias("line")).select("book", (F.floor(F.col("n") / 5) + 1).cast("int").alias("page"), (F.col("n") * 2 + F.col("t") + 1).alias("line_no"), "line")
+    head = o.select("book").distinct().select("book", F.lit(1).alias("page"), F.lit(0).cast("long").alias("line_no"), F.lit("## Table of Contents").alias("line"))
+    return contents.read_contents(twice.withColumn("line_no", F.col("line_no").cast("long")).unionByName(head))
+
+
 @query(
     """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 'let a = ' || q || ';' || chr(10) || 'if (a > 1) {' || chr(10) || '    f("x;{y}");' || chr(10) || '}' WHEN 1 THEN 'plain words ' || q ELSE 'SELECT a FROM b' END AS result,
   CASE l_linenumber % 3 WHEN 1 THEN 'no known language' WHEN 2 THEN 'no layout for this language' END AS skipped FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity::INT AS q FROM lineitem)"""

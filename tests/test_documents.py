@@ -46,6 +46,23 @@ def test_blocks(spark):
     assert [(r.closed, r.lead_in) for r in found] == [(True, None), (False, None)]
 
 
+def test_lines_by_the_rules():
+    kinds = lambda text: [k for k, _ in markdown.line_kinds(text.split("\n"))]
+    assert kinds("```\n~~~\n```\n# H\ntext") == ["code", "code", "code", "heading", "paragraph"]
+    assert kinds("````md\n```\nx\n```\n````\nafter") == ["code"] * 5 + ["paragraph"]
+    assert kinds("- a\n  b\n  c\nlazy\n\n  more\n\nout") == ["list"] * 4 + ["blank", "list", "blank", "paragraph"]
+    assert kinds("Title\n=====\nSub\nof it\n---\nx") == ["heading"] * 5 + ["paragraph"]
+    assert kinds("    code\n\n    more\n\ntext\n    not code") == ["code", "blank", "code", "blank", "paragraph", "paragraph"]
+    assert kinds("a | b\n--|--\n1 | 2\n\na | b\nno table") == ["table"] * 3 + ["blank", "paragraph", "paragraph"]
+    assert kinds("> q\nlazy\n\n---\n*a*") == ["blockquote", "blockquote", "blank", "thematic_break", "paragraph"]
+
+
+def test_headings_and_indented_code_as_blocks(spark):
+    source = "Title\nof two\n======\n\n    a\n\n    b\ntext\n\nSub\n---"
+    rows = markdown.blocks(spark.createDataFrame([(1, source)], "page_id long, source string")).orderBy("sort_order").collect()
+    assert [(r.block_type, r.level, r.markdown.count("\n")) for r in rows] == [("heading", 1, 2), ("code", None, 2), ("paragraph", None, 0), ("heading", 2, 1)]
+
+
 def test_every_line_has_one_owner(spark):
     pages = spark.createDataFrame([(1, PAGE)], "page_id long, source string")
     text = markdown.to_markdown(markdown.blocks(pages)).first().source
@@ -62,10 +79,25 @@ def test_terms(spark):
 
 
 def test_contents_entries(spark):
-    lines = ["- **Chapter 3** The End ..... 41", "IV. Fourth thing . . . xii", "Part II Later", "Appendix A: More 200", "Preface … ix", "2.1 Sub 7", "Just words"]
+    lines = ["- **Chapter 3** The End ..... 41", "IV. Fourth thing . . . xii", "Part II Later", "Appendix A: More 200", "Preface … ix", "**Preface** (xi)", "2.1 Sub 7", "Just words", "Civil war", "Part II", "3 Title 12", "62 1.7.1 Title 9"]
     rows = contents.entries(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")).orderBy("i").collect()
-    assert [(r.kind, r.number, r.page) for r in rows] == [("chapter", 3, "41"), ("chapter", 4, "xii"), ("part", None, None), ("appendix", None, "200"), ("matter", None, "ix"), ("sub", None, "7"), (None, None, None)]
-    assert rows[0].title == "The End"
+    want = [("chapter", "3", "41"), (None, None, "xii"), ("part", "II", None), ("appendix", "A", "200"), (None, None, "ix"), ("matter", None, "xi"), (None, None, "7"), (None, None, None), (None, None, None), ("part", "II", None), ("chapter", "3", "12"), (None, None, "9")]
+    assert [(r.kind, r.number, r.page) for r in rows] == want
+    assert rows[0].title == "The End" and rows[5].title == "Preface"
+
+
+def test_read_contents(spark):
+    a = [(1, "# Some book"), (2, "## Contents"), (2, "**Preface** ix"), (2, "Part One: Begin 1"), (2, "1 First 3"), (2, "1.1 Sub 4"), (2, "Chapter II: Second .... 20"), (3, "2 again 30"), (3, "3 Third 40"), (3, "**A Extra** 50"), (3, "**Index** 60"), (4, "No page"), (5, "4 Far 70")]
+    b = [(1, "# Chapters"), (1, "* Large models"), (1, "* Preface"), (1, "* Attention"), (1, "* Appendix A. Torch"), (2, "Text 12 x")]
+    rows = [("a", p, i, t) for i, (p, t) in enumerate(a)] + [("b", p, i, t) for i, (p, t) in enumerate(b)] + [("c", 1, 0, "# Nothing")]
+    df = spark.createDataFrame(rows, "book string, page int, line_no int, line string")
+    got = contents.read_contents(df).orderBy("book", "place").collect()
+    assert [(r.kind, r.number, r.title, r.page) for r in got if r.book == "a"] == [("matter", None, "Preface", "ix"), ("part", "One", "Begin", "1"), ("chapter", "1", "First", "3"), ("chapter", "2", "Second", "20"), ("chapter", "3", "Third", "40"), ("appendix", "A", "Extra", "50"), ("matter", None, "Index", "60")]
+    assert [(r.kind, r.number, r.title) for r in got if r.book == "b"] == [("chapter", "1", "Large models"), ("matter", None, "Preface"), ("chapter", "2", "Attention"), ("appendix", "A", "Torch")]
+    heads = spark.createDataFrame([("a", 0, "Chapter 2"), ("a", 1, "THIRD!"), ("a", 2, "3. Third"), ("b", 3, "Third")], "book string, place int, title string")
+    assert {(r.book, r.entry, r.heading) for r in contents.exact_pairs(contents.read_contents(df), heads).collect()} == {("a", 4, 0), ("a", 5, 1), ("a", 5, 2)}
+    items = spark.createDataFrame([(1, i, k) for i, k in enumerate(["heading", "heading", "heading", "p", "heading"])], "element int, place int, kind string")
+    assert [r.kind for r in contents.element_body(items).orderBy("place").collect()] == ["subheading", "p", "subheading"]
 
 
 def test_match_strength(spark):
