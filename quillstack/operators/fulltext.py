@@ -71,7 +71,7 @@ def _prepared(query: WebQuery, stems: bool) -> WebQuery:
 def search(index: DataFrame, keys: list[str], query: WebQuery, blocks: int, mean: float, stems: bool = True) -> DataFrame:
     """keys, rank of every block that matches: BM25 over the query's terms, from their postings alone.
 
-    A phrase's words must follow each other, stop words between them aside.
+    A phrase's words must follow each other, without the stop words among them.
     """
     q = _prepared(query, stems)
     words = sorted({w for g in q.groups for p in g for w in p})
@@ -85,11 +85,11 @@ def search(index: DataFrame, keys: list[str], query: WebQuery, blocks: int, mean
     def places(w: str) -> Column:
         return F.coalesce(F.try_element_at("_p", F.lit(w)), F.array().cast("array<int>"))
 
+    def moved(w: str, back: int) -> Column:
+        return F.transform(places(w), lambda x: x - back)
+
     def has(phrase: list[str]) -> Column:
-        starts = places(phrase[0])
-        for k, w in enumerate(phrase[1:], 1):
-            starts = F.array_intersect(starts, F.transform(places(w), lambda x, k=k: x - k))
-        return F.size(starts) > 0
+        return F.size(reduce(F.array_intersect, [moved(w, k) for k, w in enumerate(phrase)])) > 0
 
     need = [reduce(lambda a, b: a | b, [has(p) for p in g]) for g in q.groups] + [~has(p) for p in q.excluded]
     rank = F.lit(0.0)

@@ -1,8 +1,8 @@
 """Program listings that conversion has flattened to one line: found, and broken at their statements again.
 
 Column expressions only.  The layout is the plain one: a line per statement,
-indented by brace depth.  A result is taken only if it has the input's
-characters, white space apart; otherwise the code stays as it was, with a reason.
+indented by brace depth.  A result is taken only if it has the input's tokens;
+otherwise the code stays as it was, with a reason.
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import LANGUAGES
+from .markdown import blocks
+
 #: What a paragraph of each language shows: a pattern, and how often it must occur.
 SIGNS = {
     "sql": (r"(?i)\b(select\s.+\sfrom|insert\s+into|create\s+table|update\s.+\sset)\b", 1),
@@ -44,20 +47,64 @@ def broken(code: Column) -> Column:
     pieces = F.regexp_extract_all(code, F.lit(kept + r"""|[;{}]|[^;{}"'(]+|."""), 0)
     cut = F.array_join(F.transform(pieces, lambda p: F.when(p == ";", ";\n").when(p == "{", "{\n").when(p == "}", "\n}\n").otherwise(p)), "")
     rows = F.filter(F.transform(F.split(cut, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    opens = F.transform(rows, lambda x: F.when(x.endswith("{"), 1).when(x.startswith("}"), -1).otherwise(0))
-    depth = lambda i: F.aggregate(F.slice(opens, 1, i), F.lit(0), lambda a, x: a + x)
-    return F.array_join(F.transform(rows, lambda x, i: F.concat(F.repeat(F.lit("    "), F.greatest(F.lit(0), depth(i) - F.when(x.startswith("}"), 1).otherwise(0))), x)), "\n")
+    # One pass carries the depth along with the lines laid out so far.
+    start = F.struct(F.lit(0).alias("d"), F.array().cast("array<string>").alias("out"))
+
+    def put(a: Column, x: Column) -> Column:
+        at = F.greatest(F.lit(0), a["d"] - F.when(x.startswith("}"), 1).otherwise(0))
+        return F.struct((at + F.when(x.endswith("{"), 1).otherwise(0)).alias("d"), F.array_append(a["out"], F.concat(F.repeat(F.lit("    "), at), x)).alias("out"))
+
+    return F.aggregate(rows, start, put, lambda a: F.array_join(a["out"], "\n"))
+
+
+#: Strings, numbers, words and single signs; white space between them doesn't count, inside strings it does.
+TOKEN = r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[\w$]+|[^\s\w$])"""
+
+
+def tokens(code: Column) -> Column:
+    return F.regexp_extract_all(code, F.lit(TOKEN), 1)
+
+
+def aliases() -> dict[str, list[str]]:
+    """The languages that a step takes: its names as fences and options spell them."""
+    return {step: [step, *LANGUAGES.get({"js": "javascript"}.get(step, step), [step])[1:], *(["javascript"] if step == "js" else [])] for step in SIGNS}
+
+
+def step_language(label: Column) -> Column:
+    """The step that a fence's or an option's language goes to, else null."""
+    pairs = [x for step, names in aliases().items() for name in dict.fromkeys(names) for x in (F.lit(name), F.lit(step))]
+    return F.try_element_at(F.create_map(*pairs), F.lower(label))
+
+
+def without_markup(code: Column) -> Column:
+    """Emphasis, code marks and escapes that a converter put into a listing, dropped; underscores inside words stay."""
+    c = F.regexp_replace(code, r"\*\*(?=\S)([^*\n]+?)(?<=\S)\*\*", "$1")
+    c = F.regexp_replace(c, r"(?<![\w*])_(?=\S)([^_\n]+?)(?<=\S)_(?!\w)", "$1")
+    return F.regexp_replace(c, r"\\([\\`*_{}\[\]()#+.!<>|-])", "$1")
+
+
+def paragraphs(pages: DataFrame) -> DataFrame:
+    """page_id, sort_order, start_line, text: the paragraphs that may hold listings; fences, headings, lists, tables and quotes are left as they are."""
+    return blocks(pages).where("block_type = 'paragraph'").select("page_id", "sort_order", "start_line", F.col("markdown").alias("text"))
+
+
+def keep_line_ends(before: Column, after: Column) -> Column:
+    """after with CRLF line ends where before has them."""
+    return F.when(before.contains("\r\n"), F.regexp_replace(after, r"\r?\n", "\r\n")).otherwise(after)
 
 
 def unmangle(df: DataFrame, code: str = "code") -> DataFrame:
-    """df with language, result and skipped: why the code was left unchanged, null where it was laid out."""
-    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    """df with language, result and skipped: why the code was left unchanged, null where it was laid out.
+
+    A result has the tokens of the input, one by one; code with template
+    literals or line comments, whose ends a new line would move, stays.
+    """
     laid = df.withColumns({"language": language(F.col(code)), "_new": broken(F.col(code))})
     skipped = (
         F.when(F.col("language").isNull(), "no known language").when(is_output(F.col(code)), "program output").when(~is_flattened(F.col(code)), "not flattened").when(~F.col("language").isin("java", "js", "rust"), "no layout for this language")
-        .when(bare(F.col("_new")) != bare(F.col(code)), "tokens would change")
+        .when(F.col(code).contains("`") | F.col(code).rlike(r"(?<![:\"'])//"), "template or comment").when(tokens(F.col("_new")) != tokens(F.col(code)), "tokens would change")
     )
-    return laid.withColumn("skipped", skipped).withColumn("result", F.when(F.col("skipped").isNull(), F.col("_new")).otherwise(F.col(code))).drop("_new")
+    return laid.withColumn("skipped", skipped).withColumn("result", F.when(F.col("skipped").isNull(), F.col("_new")).otherwise(F.col(code))).withColumn("result", keep_line_ends(F.col(code), F.col("result"))).drop("_new")
 
 
 def best_profile(paragraphs: DataFrame, profiles: dict[str, str], text: str = "text") -> DataFrame:

@@ -139,3 +139,32 @@ def test_running_number(spark):
     rows = [(1, i, p) for i, p in enumerate([None, None, 5, None, None, 9, None])]
     got = structure.counted(spark.createDataFrame(rows, "g int, i int, p int"), ["g"], ["i"], "p").orderBy("i").collect()
     assert [r.number for r in got] == [1, 2, 5, 6, 7, 9, 10]
+
+
+def test_listings_whose_meaning_a_break_would_change_stay(spark):
+    codes = ["const x = `a; b`;", "let a = 1; // note; more", 'let u = "http://x; y"; f();', "let a = 1;\r\n"]
+    got = unmangle.unmangle(spark.createDataFrame(list(enumerate(codes)), "id int, code string")).orderBy("id").collect()
+    assert [r.skipped for r in got[:3]] == ["template or comment", "template or comment", None]
+    assert got[2].result == 'let u = "http://x; y";\nf();' and all(r.result == c for r, c in zip(got[:2], codes[:2], strict=True))
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(unmangle.without_markup(F.lit(r"**let** a\_b = \*p; _x_ snake_case_id"))) == "let a_b = *p; x snake_case_id"
+    assert one(unmangle.step_language(F.lit("JSX"))) == "js" and one(unmangle.step_language(F.lit("psql"))) == "sql" and one(unmangle.step_language(F.lit("c"))) is None
+    assert one(unmangle.keep_line_ends(F.lit("a\r\nb"), F.lit("x\ny"))) == "x\r\ny"
+    pages = spark.createDataFrame([(1, "# h\ntext\n\n```\ncode\n```\n- a\n\n> q\n\nmore")], "page_id long, source string")
+    assert [r.text for r in unmangle.paragraphs(pages).orderBy("sort_order").collect()] == ["text", "more"]
+
+
+def test_code_through_analysers(spark):
+    from quillstack.operators import code
+
+    def functions(text):
+        if "?" in text:
+            raise ValueError("odd sign")
+        return [(line.split()[1], "fn", i) for i, line in enumerate(text.split("\n"), 1) if line.startswith("fn ")]
+
+    registry = code.Registry()
+    registry.add(["rust"], functions)
+    rows = [("rs", "x\nfn a\nfn b", 10, True), ("rust", "?", 1, False), ("go", "x", 1, True), (None, "x", 1, True), ("RUST", None, 1, True)]
+    got = code.analyse(spark.createDataFrame(rows, "lang string, code string, start_line int, fenced boolean"), registry).collect()
+    assert [(r.status, r.problem) for r in got] == [("analysed", None), ("parse_error", "odd sign"), ("unsupported", None), ("unanalysed", None), ("analysed", None)]
+    assert [(f.name, f.line) for f in got[0].facts] == [("a", 12), ("b", 13)]
