@@ -61,9 +61,13 @@ def statistics(index: DataFrame, keys: list[str]) -> tuple[int, float]:
 
 
 def _prepared(query: WebQuery, stems: bool) -> WebQuery:
-    """The query's words as the index holds them; stop words and what is left empty go."""
-    word = lambda w: stem(w) if stems else w
-    kept = lambda p: [word(w) for w in p if w not in _STOP]
+    """The query's words as the index holds them; a stop word inside a phrase leaves its place ('') and those around it go."""
+
+    def kept(phrase: list[str]) -> list[str]:
+        words = ["" if w in _STOP else stem(w) if stems else w for w in phrase]
+        some = [i for i, w in enumerate(words) if w]
+        return words[some[0] : some[-1] + 1] if some else []
+
     groups = [[k for k in map(kept, g) if k] for g in query.groups]
     return WebQuery([g for g in groups if g], [k for k in map(kept, query.excluded) if k])
 
@@ -71,11 +75,11 @@ def _prepared(query: WebQuery, stems: bool) -> WebQuery:
 def search(index: DataFrame, keys: list[str], query: WebQuery, blocks: int, mean: float, stems: bool = True) -> DataFrame:
     """keys, rank of every block that matches: BM25 over the query's terms, from their postings alone.
 
-    A phrase's words must follow each other, without the stop words among them.
+    A phrase's words must follow each other, any one word in a stop word's place.
     """
     q = _prepared(query, stems)
-    words = sorted({w for g in q.groups for p in g for w in p})
-    asked = sorted({*words, *(w for p in q.excluded for w in p)})
+    words = sorted({w for g in q.groups for p in g for w in p if w})
+    asked = sorted({*words, *(w for p in q.excluded for w in p if w)})
     if not words:
         return index.select(*keys, F.lit(0.0).alias("rank")).where(F.lit(False))
     hits = index.where(F.col("term").isin(asked))
@@ -89,7 +93,7 @@ def search(index: DataFrame, keys: list[str], query: WebQuery, blocks: int, mean
         return F.transform(places(w), lambda x: x - back)
 
     def has(phrase: list[str]) -> Column:
-        return F.size(reduce(F.array_intersect, [moved(w, k) for k, w in enumerate(phrase)])) > 0
+        return F.size(reduce(F.array_intersect, [moved(w, k) for k, w in enumerate(phrase) if w])) > 0
 
     need = [reduce(lambda a, b: a | b, [has(p) for p in g]) for g in q.groups] + [~has(p) for p in q.excluded]
     rank = F.lit(0.0)
@@ -103,7 +107,7 @@ def search(index: DataFrame, keys: list[str], query: WebQuery, blocks: int, mean
 def headline(text: Column, query: WebQuery, most: int = 30, stems: bool = True) -> Column:
     """The run of at most ``most`` words with the most words of the query (the first of equals), its matches between two control characters."""
     q = _prepared(query, stems)
-    wanted = frozenset(w for g in q.groups for p in g for w in p)
+    wanted = frozenset(w for g in q.groups for p in g for w in p if w)
 
     @F.pandas_udf("string")
     def shown(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

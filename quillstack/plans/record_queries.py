@@ -19,13 +19,18 @@ def _events(spark, d, kind=None):
     return e.where(F.col("event_type") == kind) if kind else e
 
 
+def _meets(spark, d, key):
+    """The stand-in join of events and documents, over all documents."""
+    return F.expr(f"event_id % {max(1, L.table(spark, d, 'documents').count())} = {key}")
+
+
 def _positions(spark, d):
     """The last view of each user in each book."""
-    v = _events(spark, d, "view").join(L.sections(spark, d).select(F.col("id").alias("section_id"), "book"), F.expr("event_id % 1000 = section_id"))
+    v = _events(spark, d, "view").join(L.sections(spark, d).select(F.col("id").alias("section_id"), "book"), _meets(spark, d, "section_id"))
     return first_per_group(v, ["user_id", "book"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "book", "section_id", "ts")
 
 
-_POS = "pos AS (SELECT DISTINCT ON (e.user_id, s.book) e.user_id, s.book, s.id AS section_id, e.ts FROM events e JOIN sections s ON s.id = e.event_id % 1000 WHERE e.event_type = 'view' ORDER BY e.user_id, s.book, e.ts DESC, e.event_id DESC)"
+_POS = "pos AS (SELECT DISTINCT ON (e.user_id, s.book) e.user_id, s.book, s.id AS section_id, e.ts FROM events e JOIN sections s ON s.id = e.event_id % (SELECT count(*) FROM documents) WHERE e.event_type = 'view' ORDER BY e.user_id, s.book, e.ts DESC, e.event_id DESC)"
 
 
 @query(f"WITH {_POS} SELECT p.user_id, p.book, p.section_id, p.ts FROM pos p JOIN visible v ON v.id = p.section_id", "sections", "books", "visible")
@@ -35,23 +40,23 @@ def me_reading(spark, d):
     return _positions(spark, d).join(shown, "section_id", "left_semi").select("user_id", "book", "section_id", "ts")
 
 
-@query("SELECT user_id, lang AS book, bool_or(event_type = 'purchase') AS favorite FROM events JOIN documents ON doc_id = event_id % 1000 WHERE lang <> 'es' GROUP BY 1, 2")
+@query("SELECT user_id, lang AS book, bool_or(event_type = 'purchase') AS favorite FROM events JOIN documents ON doc_id = event_id % (SELECT count(*) FROM documents) WHERE lang <> 'es' GROUP BY 1, 2")
 def me_shelves(spark, d):
     docs = L.table(spark, d, "documents").select("doc_id", F.col("lang").alias("book")).join(L.books(spark, d).where("status = 'published'"), "book", "left_semi")
-    return _events(spark, d).join(docs, F.expr("event_id % 1000 = doc_id")).groupBy("user_id", "book").agg(F.bool_or(F.col("event_type") == "purchase").alias("favorite"))
+    return _events(spark, d).join(docs, _meets(spark, d, "doc_id")).groupBy("user_id", "book").agg(F.bool_or(F.col("event_type") == "purchase").alias("favorite"))
 
 
-@query("SELECT e.event_id, e.user_id, v.id AS section_id, e.props AS note FROM events e JOIN visible v ON v.id = e.event_id % 1000 WHERE e.event_type = 'click' AND e.user_id < 20", "sections", "books", "visible")
+@query("SELECT e.event_id, e.user_id, v.id AS section_id, e.props AS note FROM events e JOIN visible v ON v.id = e.event_id % (SELECT count(*) FROM documents) WHERE e.event_type = 'click'", "sections", "books", "visible")
 def me_annotations(spark, d):
     shown = visible_sections(L.sections(spark, d), L.books(spark, d)).select(F.col("id").alias("section_id"))
-    return _events(spark, d, "click").where("user_id < 20").join(shown, F.expr("event_id % 1000 = section_id")).select("event_id", "user_id", "section_id", F.col("props").alias("note"))
+    return _events(spark, d, "click").join(shown, _meets(spark, d, "section_id")).select("event_id", "user_id", "section_id", F.col("props").alias("note"))
 
 
-@query("SELECT e.event_id, e.user_id, v.id AS section_id, e.props AS note FROM events e JOIN visible v ON v.id = e.event_id % 1000 WHERE e.event_type = 'click'", "sections", "books", "visible")
+@query("SELECT e.event_id, e.user_id, v.id AS section_id, e.props AS note FROM events e JOIN visible v ON v.id = e.event_id % (SELECT count(*) FROM documents) WHERE e.event_type = 'click'", "sections", "books", "visible")
 def me_annotations_all(spark, d):
     """me_annotations of every user."""
     shown = visible_sections(L.sections(spark, d), L.books(spark, d)).select(F.col("id").alias("section_id"))
-    return _events(spark, d, "click").join(shown, F.expr("event_id % 1000 = section_id")).select("event_id", "user_id", "section_id", F.col("props").alias("note"))
+    return _events(spark, d, "click").join(shown, _meets(spark, d, "section_id")).select("event_id", "user_id", "section_id", F.col("props").alias("note"))
 
 
 @query("SELECT e.event_id, c.c_name AS reader, (e.value::INT % 5 + 1)::INT AS rating, e.ts FROM events e JOIN customer c ON c.c_custkey = e.user_id WHERE e.event_type = 'purchase' AND e.value IS NOT NULL ORDER BY e.ts DESC, e.event_id LIMIT 100")
@@ -150,10 +155,10 @@ def top_reasons(spark, d):
     return R.top_reasons(_diagnostics(spark, d), "code", ["event_id"]).select("event_id", "code", "n", "place")
 
 
-@query(f"WITH {_DIAG} SELECT event_id, severity, row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, event_id) AS place FROM diag WHERE user_id < 10")
+@query(f"WITH {_DIAG} SELECT event_id, severity, row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, event_id) AS place FROM diag")
 def severity_order(spark, d):
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    return ranking.numbered(_diagnostics(spark, d).where("user_id < 10").select("event_id", "severity"), [rank, "event_id"])
+    return ranking.numbered(_diagnostics(spark, d).select("event_id", "severity"), [rank, "event_id"])
 
 
 @query(f"WITH {_DIAG} SELECT event_id, severity, row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, event_id) AS place FROM diag")
@@ -182,10 +187,10 @@ def stored_vs_new(spark, d):
     return R.not_stored(doc, doc.where("doc_id % 3 = 0").drop("doc_id")).select("doc_id")
 
 
-@query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 5 AND user_id < 50")
+@query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 5")
 def recent_revisions(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return _events(spark, d).where("user_id < 50").withColumn("_r", F.row_number().over(w)).where("_r <= 5").select("user_id", "event_id", "ts")
+    return _events(spark, d).withColumn("_r", F.row_number().over(w)).where("_r <= 5").select("user_id", "event_id", "ts")
 
 
 @query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 5")

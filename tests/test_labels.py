@@ -42,6 +42,7 @@ def test_search_over_the_index(spark):
     n, mean = fulltext.statistics(i, ["id"])
     ids = lambda q: {r.id for r in fulltext.search(i, ["id"], parse_query(q), n, mean).collect()}
     assert n == 4 and ids("run") == {1, 2} and ids('"running fast"') == {1} and ids("run -nobody") == {1} and ids("cars or nothing") == {3, 5} and ids("the of") == set()
+    assert ids('"runner was running"') == {1} and ids('"runner running"') == set() and ids('"the runner"') == {1}
     best = fulltext.search(i, ["id"], parse_query("fast"), n, mean).orderBy(F.desc("rank")).first()
     assert best.id == 5
     line = " ".join(["w"] * 40 + ["Runs", "<b>", "running!"] + ["z"] * 40)
