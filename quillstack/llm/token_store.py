@@ -7,6 +7,9 @@ bucket's minimal perfect hash gives a slot with the key's 64-bit fingerprint
 and its locators (part, block, offset, length).  A key is found by one hash, one
 compare and one slice, however large the store is.  Both are written as Parquet
 rows of binary columns, so commits are atomic on any store that Spark writes.
+The index lies in order of its buckets and the payload in order of its parts and
+blocks; up to ``FEW`` asked keys read only the row groups and pages that can hold
+theirs, and more keys are joined with the whole index.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mph, scratch
@@ -28,6 +31,8 @@ from .word_tokens import encoder
 
 BLOCK = 1 << 18
 KEYS = 4096
+#: So many asked keys (or blocks that hold them) at most are named in the filters of a scan.
+FEW = 256
 PAYLOAD = "part int, block int, local_start long, keys array<long>, ends array<long>, width int, payload binary"
 INDEX = "bucket long, mph binary, fingerprints binary, first binary, locators binary"
 FOUND = "key long, part int, block int, offset long, n_tokens long"
@@ -138,14 +143,30 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id",
     offset = F.when(F.col("i") == 0, F.lit(0)).otherwise(F.try_element_at("ends", F.col("i")))
     each = each.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "part", "block", offset.cast("long").alias("offset"), (F.try_element_at("ends", F.col("i") + 1) - offset).alias("n_tokens"))
     index = scratch.new_path(spark, "token-index")
-    each.groupBy("bucket").applyInArrow(_build, INDEX).write.parquet(index)
+    each.repartitionByRange(parts, "bucket").groupBy("bucket").applyInArrow(_build, INDEX).write.parquet(index)
     return TokenStore(path, index, buckets)
 
 
+def _bucket(key: str, store: TokenStore) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(store.buckets))
+
+
+def _few(rows: DataFrame) -> list | None:
+    """The rows, if they are ``FEW`` at most."""
+    got = rows.limit(FEW + 1).collect()
+    return got if len(got) <= FEW else None
+
+
 def locate(spark: SparkSession, store: TokenStore, keys: DataFrame, key: str = "key") -> DataFrame:
-    """key, part, block, offset, n_tokens of every document stored under each distinct key; unknown keys give no row."""
-    asked = keys.select(F.col(key).cast("long").alias("key")).distinct().withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(store.buckets)))
+    """key, part, block, offset, n_tokens of every document stored under each distinct key; unknown keys give no row.
+
+    Up to ``FEW`` rows of keys read only their buckets of the index.
+    """
+    asked = keys.select(F.col(key).cast("long").alias("key")).distinct().withColumn("bucket", _bucket("key", store))
     index = spark.read.schema(INDEX).parquet(store.index)
+    few = _few(keys.select(_bucket(key, store).alias("bucket")))
+    if few is not None:
+        index = index.where(F.col("bucket").isin(sorted({r["bucket"] for r in few})))
     return index.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_find, FOUND)
 
 
@@ -172,9 +193,15 @@ def read_digests(spark: SparkSession, store: TokenStore) -> DataFrame:
 
 
 def fetch(spark: SparkSession, store: TokenStore, keys: DataFrame, key: str = "key") -> DataFrame:
-    """key, ids (little-endian unsigned 32 bit) of the asked keys' documents."""
+    """key, ids (little-endian unsigned 32 bit) of the asked keys' documents; unknown keys give no row, a repeated key one for each document.
+
+    Up to ``FEW`` rows of keys in as many blocks read only these blocks of the payload.
+    """
     where = locate(spark, store, keys, key)
     payload = spark.read.schema(PAYLOAD).parquet(store.payload).select("part", "block", "width", "payload")
+    few = _few(where.select("part", "block").distinct()) if _few(keys.select(key)) is not None else None
+    if few is not None:
+        payload = payload.where(F.col("part").isin(sorted({r["part"] for r in few})) & F.col("block").isin(sorted({r["block"] for r in few})))
     cut = where.join(payload, ["part", "block"]).select("key", "width", F.expr("substring(payload, cast(offset * width + 1 as int), cast(n_tokens * width as int))").alias("raw"))
 
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -105,6 +105,40 @@ def test_token_store_round_trip(spark, docs, empty, library):
     assert token_store.locate(spark, token_store.write(empty, PATH), docs, "doc_id").count() == 0
 
 
+def _read_rows(df, column):
+    """Rows that the scan of the table with the named column gives, after row groups and pages have been left out."""
+    df.collect()
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(p):
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if hasattr(p, "getClass") and "QueryStageExec" in p.getClass().getSimpleName():
+            return walk(p.plan())
+        if p.getClass().getSimpleName() == "FileSourceScanExec" and column in p.output().toString():
+            out.append(p.metrics().apply("numOutputRows").value())
+        kids = p.children()
+        for i in range(kids.size()):
+            walk(kids.apply(i))
+
+    walk(plan)
+    return sum(out)
+
+
+def test_few_keys_read_few_buckets_and_blocks(spark, library, monkeypatch):
+    monkeypatch.setattr(token_store, "KEYS", 8)
+    monkeypatch.setattr(token_store, "BLOCK", 64)
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of number "), "id").alias("text"))
+    store = token_store.write(docs, PATH)
+    asked = spark.createDataFrame([(17,), (3999,), (4000,)], "key long")
+    got = {r.key: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in token_store.fetch(spark, store, asked).collect()}
+    assert got == {i: library(f"text of number {i}") + [2] for i in (17, 3999)}
+    assert _read_rows(token_store.locate(spark, store, asked), "fingerprints") < 300  # of 500 buckets
+    assert spark.read.parquet(store.payload).count() > 2
+    assert _read_rows(token_store.fetch(spark, store, asked), "payload") == 2  # the blocks of the two keys that are there
+    assert token_store.locate(spark, store, docs, "doc_id").count() == 4000
+
+
 @pytest.mark.parametrize("limit", [40, 200, 10**6])
 def test_shards_fit(docs, limit):
     rows = sharding.sharded(docs, limit).collect()
