@@ -35,6 +35,8 @@ from .textscan import RUN, U, mix, span_hash, text_chunks
 GRAM = 32
 SHALLOW = 16
 BUCKET = 8192
+#: Anchors (some 30 bytes each) and contexts (some 300) that a task gets at most on average, however large the table is.
+ANCHORS, CONTEXTS = 1 << 20, 1 << 16
 HOT = 1 << 16
 WINDOW = 1 << 18
 _POS = U((1 << 26) - 1)
@@ -388,7 +390,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     rows = rows.withColumnRenamed("_rid", "rid")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.save(rows.select("rid", "text").mapInArrow(_anchor_rows(length), "kind int, gram long, rid long, place int, left int, right int"), "found")
-    dealt = found.where("kind = 0").drop("kind").repartition(parts, "gram").sortWithinPartitions("gram")
+    dealt = found.where("kind = 0").drop("kind").repartition(max(parts, -(-found.count() // ANCHORS)), "gram").sortWithinPartitions("gram")
     twins = scratch.save(dealt.mapInArrow(_repeated, dealt.schema), "anchors")
     marks = twins.groupBy("rid").agg(F.collect_list(F.struct("gram", "place", "left", "right")).alias("marks"))
     contexts = rows.select("rid", "text").join(marks, "rid").mapInArrow(_context_rows, "gram long, rid long, place int, before binary, after binary")
@@ -396,14 +398,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     spans_schema = "rid long, first long, end long"
     any_hot = scratch.save(crowd.select("gram"), "hot-grams")
     few = any_hot.count()
-    buckets = max(64, -(-twins.count() // BUCKET))
+    n = twins.count()
+    buckets = max(64, -(-n // BUCKET))
     if few:
         contexts = scratch.save(contexts, "contexts")
         crowded = contexts.join(any_hot, "gram", "left_semi").mapInArrow(_hot_windows(length), "w1 long, w2 long, rid long, first long")
         often = crowded.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
         hot_spans = crowded.join(often, ["w1", "w2"], "left_semi").select("rid", "first", (F.col("first") + length).alias("end"))
         contexts = contexts.join(any_hot, "gram", "left_anti")
-    spans = contexts.groupBy(F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("_b")).applyInArrow(_bucket_spans(length), spans_schema)
+    bucketed = contexts.withColumn("_b", F.pmod(F.xxhash64("gram"), F.lit(buckets))).repartition(max(parts, -(-n // CONTEXTS)), "_b")
+    spans = bucketed.groupBy("_b").applyInArrow(_bucket_spans(length), spans_schema)
     if few:
         spans = spans.unionByName(hot_spans)
     spans = scratch.save(spans, "spans")
