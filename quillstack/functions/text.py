@@ -117,17 +117,14 @@ def image_type(content: Column) -> Column:
     return F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpg").when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "webp")
 
 
-#: A contents line's last number, after spaces, dot leaders or dashes, or in brackets.
-PAGE = r"(?i)^(.*?\S)[\s.·…•_—–-]*\s+\(?([0-9]{1,4}|[ivxlcdm]{1,7})\)?$"
+#: Words whose own number a roman numeral behind them is (fixed values).
+NUMBERED_WORDS = ("chapter", "part", "appendix", "volume")
 
 
 def trailing_page(c: Column) -> Column:
-    """The page number that ends a contents line: up to four digits or a roman numeral; '' if there is none or if it is a part's own number ("Part II")."""
-    page = F.regexp_extract(c, PAGE, 2)
-    own = page.rlike("(?i)^[ivxlcdm]+$") & F.regexp_extract(c, PAGE, 1).rlike(r"(?i)\b(chapter|part|appendix|volume)$")
-    return F.when(own, "").otherwise(page)
-
-
-def without_page(c: Column) -> Column:
-    """A contents line without its page number."""
-    return F.when(trailing_page(c) != "", F.trim(F.regexp_extract(c, PAGE, 1))).otherwise(c)
+    """The page number that ends a contents line, in brackets or not: up to four digits or a roman numeral; '' if there is none or if it is a part's own number ("Part II")."""
+    words = F.split(F.trim(c), r"\s+")
+    last = F.regexp_replace(F.element_at(words, -1), r"^\(|\)$", "")
+    roman = last.rlike("^[ivxlcdmIVXLCDM]{1,7}$")
+    own = roman & F.lower(F.regexp_extract(F.try_element_at(words, F.lit(-2)), r"([\p{L}]*)[\s.·…•_—–-]*$", 1)).isin(*NUMBERED_WORDS)
+    return F.when((F.size(words) > 1) & (roman | last.rlike("^[0-9]{1,4}$")) & ~own, last).otherwise("")
