@@ -58,7 +58,7 @@ def _exact(entries: DataFrame, headings: DataFrame) -> DataFrame:
     return same.unionByName(label).distinct()
 
 
-def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a book by entry: the entry (no ``pos``), then its candidates. Gives each entry its position and how it was found."""
     book = entry = None
     begun = False
@@ -169,7 +169,7 @@ def place_entries(entries: DataFrame, headings: DataFrame, pages: DataFrame) ->
     rows = known.select("book", "entry", F.lit(None).cast("long").alias("pos"), "anchor", "predicted", "limit", "first").unionByName(cands.select("book", "entry", "pos"), allowMissingColumns=True)
     rows = rows.where("limit is not null or pos is not null").withColumns({c: F.col(c).cast("long") for c in ("predicted", "limit", "first")})
     kinds = {f.name: f.dataType.simpleString() for f in known.schema}
-    placed = written(rows.repartition("book").sortWithinPartitions("book", "entry", F.asc_nulls_first("pos")).mapInArrow(_streamed, f"book {kinds['book']}, entry {kinds['entry']}, pos long, how string"), "placed")
+    placed = written(rows.repartition("book").sortWithinPartitions("book", "entry", F.asc_nulls_first("pos")).mapInArrow(follow, f"book {kinds['book']}, entry {kinds['entry']}, pos long, how string"), "placed")
     beyond = F.col("expected") > F.col("_last")
     full = known.join(placed, ["book", "entry"], "left").select("book", "entry", "number", "words", "expected", "pos", "how", F.coalesce(beyond & F.col("pos").isNull(), F.lit(False)).alias("_beyond"))
     left = full.where("pos is null and not _beyond")

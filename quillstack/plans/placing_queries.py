@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import placing
+from ..operators import organize, placing
 from ..session import workers_import
 from ..sources import library as L
 from .registry import query
@@ -85,3 +85,73 @@ def contents_elements(spark, d):
     """The elements that the placed entries make: roles, parts, slugs."""
     entries, headings, pages = _books(spark, d)
     return placing.elements(entries, placing.place_entries(entries, headings, pages))
+
+
+def _orders(spark, d):
+    """A customer's orders with the name of a part each, and his lineitems with theirs, both numbered."""
+    part = L.table(workers_import(spark), d, "part").select("p_partkey", "p_name")
+    o = L.table(spark, d, "orders").select(F.col("o_custkey").alias("book"), "o_orderkey")
+    count = part.count()
+    titled = o.join(part, F.col("p_partkey") == F.col("o_orderkey") % count)
+    w = Window.partitionBy("book").orderBy("o_orderkey", "l_linenumber", "l_partkey")
+    lines = L.table(spark, d, "lineitem").select("l_partkey", "l_linenumber", F.col("l_orderkey").alias("o_orderkey")).join(o, "o_orderkey").withColumn("n", F.row_number().over(w) - 1)
+    return titled, lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+
+
+_ORDERS = """o AS (SELECT o_custkey AS book, o_orderkey, p_name FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)),
+n AS (SELECT o_custkey AS book, o_orderkey, p_name, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, l_linenumber, l_partkey) - 1 AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
+
+
+@query(f"""WITH RECURSIVE {_ORDERS},
+c AS (SELECT book, row_number() OVER (PARTITION BY book ORDER BY o_orderkey) AS number, replace(p_name, ' ', '') AS t FROM o),
+d AS (SELECT DISTINCT book, lpad((n % 90 + 1)::VARCHAR, 2, '0') || '_' || replace(p_name, ' ', '_') || CASE WHEN n % 5 = 0 THEN '_more' ELSE '' END AS folder FROM n),
+f AS (SELECT *, substr(folder, 1, 2)::INT AS no, replace(substr(folder, 4), '_', '') AS k FROM d),
+w AS (SELECT c.book, c.number, coalesce(list(folder ORDER BY CASE WHEN starts_with(k, t) OR starts_with(t, k) THEN 0 ELSE 1 END, folder) FILTER (folder IS NOT NULL), []::VARCHAR[]) AS wishes
+  FROM c LEFT JOIN f ON f.book = c.book AND (starts_with(k, t) OR starts_with(t, k) OR no = number) GROUP BY ALL),
+walk(book, number, used, folder) AS (SELECT DISTINCT book, 0::BIGINT, []::VARCHAR[], NULL::VARCHAR FROM c
+  UNION ALL SELECT book, number, CASE WHEN len(free) > 0 THEN list_append(used, free[1]) ELSE used END, free[1] FROM (
+    SELECT w.book, w.number, s.used, list_filter(w.wishes, lambda i: NOT list_contains(s.used, i)) AS free FROM walk s JOIN w ON w.book = s.book AND w.number = s.number + 1))
+SELECT book, number::INT AS number, folder FROM walk WHERE folder IS NOT NULL""")
+def folders_matched(spark, d):
+    """Each chapter's folder, each folder once: in SQL chapter by chapter, in Spark in rounds."""
+    o, lines = _orders(spark, d)
+    chapters = o.select("book", F.row_number().over(Window.partitionBy("book").orderBy("o_orderkey")).alias("number"), F.col("p_name").alias("title"))
+    name = F.concat(F.lpad((F.col("n") % 90 + 1).cast("string"), 2, "0"), F.lit("_"), F.replace("p_name", F.lit(" "), F.lit("_")), F.when(F.col("n") % 5 == 0, "_more").otherwise(""))
+    return organize.match_folders(chapters, lines.select("book", name.alias("folder")).distinct())
+
+
+@query(f"""WITH RECURSIVE {_ORDERS},
+s AS (SELECT o.book, o.o_orderkey % 3 AS number, row_number() OVER (PARTITION BY o.book, o.o_orderkey % 3 ORDER BY o.o_orderkey) AS place, replace(p_name, ' ', '') AS t, CASE WHEN o.o_orderkey % 2 = 0 THEN m.n // 3 END AS expected
+  FROM o LEFT JOIN (SELECT o_orderkey, min(n) AS n FROM n GROUP BY 1) m USING (o_orderkey)),
+h AS (SELECT book, o_orderkey % 3 AS number, row_number() OVER (PARTITION BY book, o_orderkey % 3 ORDER BY n) - 1 AS pos, CASE WHEN n % 7 > 0 THEN n // 3 END AS page,
+  CASE WHEN n % 4 = 0 THEN '21' ELSE '' END AS label, replace(p_name, ' ', '') || CASE WHEN n % 3 = 0 THEN 'again' ELSE '' END AS k FROM n),
+f AS (SELECT s.book, s.number, s.place, h.pos FROM s JOIN h ON h.book = s.book AND h.number = s.number AND (expected IS NULL OR page IS NULL OR abs(page - expected) <= 2) AND (k = t OR label || k = t OR (length(t) > 6 AND (starts_with(k, t) OR starts_with(label || k, t))))),
+walk(book, number, place, seen, pos) AS (SELECT DISTINCT book, number, 0::BIGINT, -1::BIGINT, NULL::BIGINT FROM s
+  UNION ALL SELECT s.book, s.number, s.place, coalesce(min(f.pos), w.seen), min(f.pos) FROM walk w JOIN s ON s.book = w.book AND s.number = w.number AND s.place = w.place + 1
+    LEFT JOIN f ON f.book = s.book AND f.number = s.number AND f.place = s.place AND f.pos > w.seen GROUP BY s.book, s.number, s.place, w.seen)
+SELECT book, number, place::INT AS place, pos FROM walk WHERE place > 0""")
+def sections_located(spark, d):
+    o, lines = _orders(spark, d)
+    number = F.col("o_orderkey") % 3
+    first = lines.groupBy("o_orderkey").agg(F.min("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("book", "number").orderBy("o_orderkey"))
+    sections = o.join(first, "o_orderkey", "left").withColumn("number", number).select("book", "number", place.alias("place"), F.col("p_name").alias("title"), F.when(F.col("o_orderkey") % 2 == 0, F.floor(F.col("n") / 3)).cast("int").alias("expected"))
+    pos = F.row_number().over(Window.partitionBy("book", "number").orderBy("n")) - 1
+    title = F.concat("p_name", F.when(F.col("n") % 3 == 0, " again").otherwise(""))
+    headings = lines.withColumn("number", number).select("book", "number", pos.alias("pos"), F.when(F.col("n") % 7 > 0, F.floor(F.col("n") / 3)).cast("int").alias("page"), F.when(F.col("n") % 4 == 0, "2.1").otherwise("").alias("label"), title.alias("title"))
+    return organize.locate(sections, headings)
+
+
+@query("""WITH p AS (SELECT lang AS book, source AS folder, doc_id AS file, text, string_split(text, chr(10)) AS l, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS i FROM documents),
+q AS (SELECT *, CASE WHEN len(l) >= 3 AND file % 2 = 0 THEN i END AS starts FROM p),
+r AS (SELECT *, coalesce(last_value(starts IGNORE NULLS) OVER (PARTITION BY book, folder ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS opened FROM q),
+s AS (SELECT book, folder, file, opened AS owner, CASE WHEN starts IS NULL THEN text ELSE array_to_string(l[1:2], chr(10)) || chr(10) END AS text FROM r
+  UNION ALL SELECT book, folder, file, starts, array_to_string(l[3:], chr(10)) FROM r WHERE starts IS NOT NULL)
+SELECT book, folder, file, owner::INT AS owner, md5(text) AS text_md5, true AS split FROM s WHERE text <> '' OR NOT EXISTS (SELECT 1 FROM s t WHERE t.file = s.file AND t.text <> '')""")
+def folders_split(spark, d):
+    """Every second document is cut before its third line; all pieces join again."""
+    doc = L.table(spark, d, "documents").select(F.col("lang").alias("book"), F.col("source").alias("folder"), F.col("doc_id").alias("file"), "text")
+    pages = doc.withColumn("place", F.col("file"))
+    index = (F.row_number().over(Window.partitionBy("book", "folder").orderBy("file")) - 1).alias("index")
+    starts = doc.select("book", "folder", "file", "text", index).where((F.size(F.split("text", "\n")) >= 3) & (F.col("file") % 2 == 0)).select("book", "folder", "file", F.lit(3).alias("line"), "index")
+    return organize.split_folders(pages, starts).select("book", "folder", "file", "owner", F.md5(F.col("text").cast("binary")).alias("text_md5"), "split")
