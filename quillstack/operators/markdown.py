@@ -12,10 +12,14 @@ from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import written
+
 FENCE = r"^\s{0,3}(```+|~~~+)"
+_INFO = r"^\s*(?:```+|~~~+)\s*\{?\.?(?:language-)?([\w+#-]*)"
 _OPEN = re.compile(r" {0,3}(`{3,}(?![^\n]*`)|~{3,})")
 _ITEM = re.compile(r"( {0,3})(?:[-*+]|[0-9]{1,9}[.)])(?:\s|$)")
 _DELIMITER = re.compile(r"\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
@@ -32,6 +36,8 @@ _BLOCK_HTML = re.compile(
     re.IGNORECASE,
 )
 _QUOTE, _HTML = re.compile(r" {0,3}>"), re.compile(r" {0,3}<[/!?a-zA-Z]")
+#: HTML that goes on over blank lines, and what ends it.
+_RAW_HTML = ((re.compile(r" {0,3}<(script|pre|style|textarea)(?=[\s>]|$)", re.IGNORECASE), re.compile("</(script|pre|style|textarea)>", re.IGNORECASE)), (re.compile(" {0,3}<!--"), re.compile("-->")))
 
 
 def _cells(line: str) -> int:
@@ -48,6 +54,7 @@ def line_kinds(lines: list[str]) -> list[tuple[str, bool]]:
     """
     out: list[tuple[str, bool]] = []
     fence, kind, blank, para = "", "blank", True, 0  # para: where the open paragraph began
+    until: re.Pattern | None = None  # what ends the open raw HTML
     for i, line in enumerate(lines):
         before, was_blank = kind, blank
         indent = len(line.expandtabs(4)) - len(line.expandtabs(4).lstrip())
@@ -57,14 +64,18 @@ def line_kinds(lines: list[str]) -> list[tuple[str, bool]]:
             if re.match(r" {0,3}" + re.escape(fence[0]) + "{%d,}\\s*$" % len(fence), line):
                 fence, kind = "", "code"
             continue
+        if until:
+            out.append(("html", False))
+            until, kind = (None, "blank") if until.search(line) else (until, "html")
+            continue
         if blank:
             out.append(("blank", True))
-            if kind not in ("list", "indented"):
+            if kind not in ("list", "indented", "footnote"):
                 kind = "blank"
             continue
         single = next((k for k, r in _ONE_LINE if r.match(line)), None)
-        if before == "list" and indent >= 2:
-            out.append(("list", False))
+        if (before == "list" and indent >= 2) or (before == "footnote" and indent >= 4):
+            out.append((before, False))
         elif (m := _OPEN.match(line)) and indent < 4:
             fence, kind = m.group(1), "code"
             out.append(("code", True))
@@ -92,7 +103,11 @@ def line_kinds(lines: list[str]) -> list[tuple[str, bool]]:
             out.append(("table", True))
         elif before == "html" or (before == "paragraph" and not _BLOCK_HTML.match(line)):
             out.append((before, False))
-        elif before in ("list", "blockquote") and not was_blank:  # a paragraph that goes on without its mark
+        elif raw := next((end for begin, end in _RAW_HTML if begin.match(line)), None):
+            kind = "html"
+            out.append(("html", True))
+            until, kind = (None, "blank") if raw.search(line) else (raw, "html")
+        elif before in ("list", "blockquote", "footnote") and not was_blank:  # a paragraph that goes on without its mark
             out.append((before, False))
         elif _HTML.match(line):
             kind = "html"
@@ -132,13 +147,167 @@ def blocks(pages: DataFrame) -> DataFrame:
     inside = F.filter("_l", lambda x: (x["line_no"] >= F.col("start_line")) & (x["line_no"] <= F.col("end_line")))
     joined = typed.withColumn("markdown", F.array_join(F.transform(inside, lambda x: x["line"]), "\n"))
     first = F.substring_index("markdown", "\n", 1)
-    lang = F.when(F.col("block_type") == "code", F.nullif(F.lower(F.regexp_extract(first, r"^\s*(?:```+|~~~+)\s*\{?\.?(?:language-)?([\w+#-]*)", 1)), F.lit("")))
+    lang = F.when(F.col("block_type") == "code", F.nullif(F.lower(F.regexp_extract(first, _INFO, 1)), F.lit("")))
     marks = F.length(F.regexp_extract(first, r"^\s*(#+)(?:\s|$)", 1))
     level = F.when(F.col("block_type") == "heading", F.when(marks > 0, marks).when(F.substring_index("markdown", "\n", -1).contains("="), 1).otherwise(2))
     order = (F.row_number().over(Window.partitionBy("page_id").orderBy("run")) - 1).alias("sort_order")
     return joined.select("page_id", order, "block_type", "start_line", "end_line", "markdown", lang.alias("lang"), level.alias("level"))
 
 
+def _unquoted(lines: list[str]) -> list[str]:
+    return [re.sub(r"^ {0,3}> ?", "", x) for x in lines]
+
+
+def _items(lines: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """First line and lines of each item of a list, without its mark and indent."""
+    begun, width, item = 0, 0, []
+    for i, line in enumerate(lines):
+        m = _ITEM.match(line)
+        if m and (not item or len(line) - len(line.lstrip()) < width):
+            if item:
+                yield begun, item
+            begun, width = i, m.end() if line[m.end() :].strip() and len(line) > m.end() else len(m[0].rstrip()) + 1
+            spaces = len(line) - len(line[m.end() :].lstrip()) - m.end()
+            width += spaces if 0 < spaces < 4 else 0
+            item = [line[width:]]
+        else:
+            head = len(line) - len(line.lstrip())
+            item.append(line[min(width, head) :])
+    if item:
+        yield begun, item
+
+
+#: Blocks that hold blocks, by the name of their kind inside a path.
+CONTAINERS = ("list", "blockquote", "footnote")
+
+
+def inner_blocks(kind: str, lines: list[str], at: int = 0, path: str = "") -> Iterator[dict]:
+    """The blocks inside a list, quote or footnote, outer ones first: path, kind, lines (from ``at``) and text without the containers' marks.
+
+    A path names each step with its place among its siblings
+    (``listItem[0]>code[1]``).  Text that only goes on from a quoted line
+    without its mark belongs to that line's paragraph.
+    """
+    if kind == "list":
+        parts = [(f"listItem[{n}]", begun, item) for n, (begun, item) in enumerate(_items(lines))]
+    elif kind == "blockquote":
+        parts = [("", 0, _unquoted(lines))]
+    else:
+        parts = [("", 0, [re.sub(r"^ {0,3}\[\^[^\]]+\]: ?", "", lines[0]), *(re.sub("^(?: {1,4}|\t)", "", x) for x in lines[1:])])]
+    for name, begun, inside in parts:
+        place, run, found = -1, [], []
+        for i, (k, start) in enumerate(line_kinds(inside)):
+            if k == "blank":
+                run.append(i)
+                continue
+            if start or not found:
+                found.append((k, [i]))
+            else:
+                found[-1][1].extend([*run, i])
+            run = []
+        for k, rows in found:
+            place += 1
+            own = [inside[i] for i in rows]
+            step = ">".join(x for x in (path, name, f"{k}[{place}]") if x)
+            first = at + begun + rows[0]
+            yield {"path": step, "kind": k, "start": first, "end": at + begun + rows[-1], "text": "\n".join(own)}
+            if k in CONTAINERS:
+                yield from inner_blocks(k, own, first, step)
+
+
+@cache
+def _inner():
+    @F.pandas_udf("array<struct<path: string, kind: string, start: int, end: int, text: string>>")
+    def inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([list(inner_blocks(k, m.split("\n"), a)) for k, m, a in zip(s["kind"], s["markdown"], s["at"], strict=True)], index=s.index)
+
+    return inner.asNondeterministic()
+
+
+def contained(blocks: DataFrame) -> DataFrame:
+    """page_id, sort_order, path, block_type, start_line, end_line, markdown, lang: the blocks inside lists, quotes and footnotes, at any depth.
+
+    ``sort_order`` is the container's among the page's blocks, ``markdown`` has
+    no container's marks.  Every line of a container that isn't blank is in one
+    block whose path has no step below it.
+    """
+    held = blocks.where(F.col("block_type").isin(*CONTAINERS))
+    struct = F.struct(F.col("block_type").alias("kind"), "markdown", F.col("start_line").cast("int").alias("at"))
+    rows = held.select("page_id", "sort_order", F.inline(_inner()(struct)))
+    first = F.substring_index("text", "\n", 1)
+    lang = F.when(F.col("kind") == "code", F.nullif(F.lower(F.regexp_extract(first, _INFO, 1)), F.lit("")))
+    return rows.select("page_id", "sort_order", "path", F.col("kind").alias("block_type"), F.col("start").alias("start_line"), F.col("end").alias("end_line"), F.col("text").alias("markdown"), lang.alias("lang"))
+
+
+def code_index(blocks: DataFrame) -> DataFrame:
+    """page_id, sort_order, path, start_line, end_line, lang, markdown of all code, inside containers (with its path) or not (null)."""
+    names = ["page_id", "sort_order", "path", "start_line", "end_line", "lang", "markdown"]
+    top = blocks.where("block_type = 'code'").withColumn("path", F.lit(None).cast("string"))
+    return top.select(*names).unionByName(contained(blocks).where("block_type = 'code'").select(*names))
+
+
+#: Elements that have no end tag (fixed values).
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+
+
+def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of tags from rows sorted by page and place: a page's open tags are held, a heading lets go of them."""
+    page, begun, stack = None, False, []
+    for b in batches:
+        out = []
+        for p, i, kind, tag, ends in zip(*(b.column(c).to_pylist() for c in ("page_id", "sort_order", "block_type", "tag", "ends")), strict=True):
+            if not begun or p != page or kind == "heading":
+                begun, page, stack = True, p, []
+            if tag and not ends:
+                stack.append((tag, i))
+            elif tag and stack and stack[-1][0] == tag:
+                out.append((p, stack.pop()[1], i))
+        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], b.schema.field(c).type) for n, c in enumerate(("page_id", "sort_order", "sort_order"))], ["page_id", "sort_order", "close"])
+
+
+def _parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The innermost pair around each row, from rows sorted by page and place that know where their pair closes."""
+    page, begun, stack = None, False, []
+    for b in batches:
+        parents = []
+        for p, i, close in zip(*(b.column(c).to_pylist() for c in ("page_id", "sort_order", "close")), strict=True):
+            if not begun or p != page:
+                begun, page, stack = True, p, []
+            while stack and stack[-1][1] < i:
+                stack.pop()
+            parents.append(stack[-1][0] if stack else None)
+            if close is not None:
+                stack.append((i, close))
+        yield b.append_column("parent", pa.array(parents, b.schema.field("sort_order").type))
+
+
+def html_wrappers(blocks: DataFrame) -> DataFrame:
+    """blocks with parent, close_tag: an HTML block that is one start tag and the matching end tag further down are one wrapper of all blocks between.
+
+    Wrappers nest; ``parent`` is the sort_order of the wrapper around a block,
+    ``close_tag`` the end tag of a wrapper, whose ``end_line`` it gives.  A
+    heading lets go of every open tag; tags that are never closed, or closed
+    across each other, stay blocks.  Rows stream in order: what is held is the
+    open tags of one page.
+    """
+    trimmed = F.trim(F.regexp_replace("markdown", r"^\s+|\s+$", ""))
+    named = F.lower(F.regexp_extract(trimmed, r"^</?([A-Za-z][A-Za-z0-9-]*)", 1))
+    whole = (F.col("block_type") == "html") & trimmed.rlike(r"^<[^<>]+>$") & (named != "")
+    ends = trimmed.startswith("</")
+    solo = F.when(ends, trimmed.rlike("^</[A-Za-z][A-Za-z0-9-]*>$")).otherwise(~trimmed.endswith("/>") & ~named.isin(*VOID) & trimmed.rlike(r"^<[A-Za-z][A-Za-z0-9-]*[\s>]"))
+    tagged = blocks.withColumns({"tag": F.when(whole & solo, named), "ends": ends})
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    dealt = tagged.select("page_id", "sort_order", "block_type", "tag", "ends").repartition("page_id").sortWithinPartitions("page_id", "sort_order")
+    pairs = written(dealt.mapInArrow(_wrappers, f"page_id {kinds['page_id']}, sort_order {kinds['sort_order']}, close {kinds['sort_order']}"), "wrappers")
+    closing = blocks.select("page_id", F.col("sort_order").alias("close"), F.trim("markdown").alias("close_tag"), F.col("end_line").alias("_end"))
+    ended = pairs.join(closing, ["page_id", "close"])
+    rows = blocks.join(ended, ["page_id", "sort_order"], "left").join(pairs.select("page_id", F.col("close").alias("sort_order")), ["page_id", "sort_order"], "left_anti")
+    around = rows.withColumn("end_line", F.coalesce("_end", "end_line")).drop("_end").repartition("page_id").sortWithinPartitions("page_id", "sort_order")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in around.schema)
+    return around.mapInArrow(_parents, f"{schema}, parent {kinds['sort_order']}").select(*blocks.columns, "parent", "close_tag")
+
+
 def with_captions(blocks: DataFrame) -> DataFrame:
     """blocks with caption: a paragraph of nothing but emphasis right behind an image is its caption, and no block any more."""
     w = Window.partitionBy("page_id").orderBy("sort_order")

@@ -76,6 +76,45 @@ def term_lines(spark, d):
     return markdown.terms(markdown.blocks(pages)).select(F.col("page_id").alias("p_partkey"), "term", "expansion", "valid")
 
 
+@query(r"""WITH RECURSIVE t AS (SELECT page_id, unnest(x) AS token, generate_subscripts(x, 1) - 1 AS i FROM (
+  SELECT page_id, regexp_extract_all(regexp_replace(html, '<(script|style).*?</(script|style)>|<!--.*?-->|<![^>]*>', '', 'gs'), '<[^<>]+>|[^<>]+') AS x FROM pages)),
+k AS (SELECT page_id, i, CASE WHEN token IN ('<h1>', '<h2>') THEN '# h' WHEN token[1] = '<' THEN token ELSE 'p ' || regexp_replace(token, '[^a-zA-Z]', 'x', 'g') END AS markdown, CASE WHEN token IN ('<h1>', '<h2>') THEN 'heading' WHEN token[1] = '<' THEN 'html' ELSE 'paragraph' END AS block_type,
+  CASE WHEN token[1] = '<' AND token NOT IN ('<h1>', '<h2>') THEN nullif(regexp_extract(token, '^</?([a-z0-9]+)', 1), '') END AS named FROM t),
+r AS (SELECT *, CASE WHEN markdown[2] = '/' THEN named WHEN named NOT IN ('meta', 'br', 'img', 'hr', 'link', 'input') THEN named END AS tag FROM k),
+walk(page_id, i, stack, opened) AS (SELECT DISTINCT page_id, -1::BIGINT, []::STRUCT(tag VARCHAR, i BIGINT)[], NULL::BIGINT FROM r
+  UNION ALL SELECT r.page_id, r.i, CASE WHEN block_type = 'heading' THEN [] WHEN tag IS NULL THEN stack WHEN markdown[2] <> '/' THEN list_append(stack, {'tag': tag, 'i': r.i}) WHEN len(stack) > 0 AND stack[-1].tag = tag THEN stack[1:len(stack) - 1] ELSE stack END,
+    CASE WHEN tag IS NOT NULL AND markdown[2] = '/' AND len(stack) > 0 AND stack[-1].tag = tag THEN stack[-1].i END FROM walk w JOIN r ON r.page_id = w.page_id AND r.i = w.i + 1),
+m AS (SELECT page_id, opened, i AS closed FROM walk WHERE opened IS NOT NULL)
+SELECT r.page_id, r.i AS sort_order, r.block_type, md5(r.markdown) AS markdown_md5, (SELECT markdown FROM r x WHERE x.page_id = r.page_id AND x.i = o.closed) AS close_tag, (SELECT max(opened) FROM m WHERE m.page_id = r.page_id AND opened < r.i AND closed > r.i) AS parent
+FROM r LEFT JOIN m o ON o.page_id = r.page_id AND o.opened = r.i WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.page_id = r.page_id AND m.closed = r.i)""")
+def html_wrapped(spark, d):
+    """Every tag and text of every page as a block of its own, tags and what they wrap put together again; a heading breaks all open ones."""
+    p = L.table(workers_import(spark), d, "pages")
+    bare = F.regexp_replace("html", r"(?s)<(script|style).*?</(script|style)>|<!--.*?-->|<![^>]*>", "")
+    block = lambda t: F.when(t.isin("<h1>", "<h2>"), "# h").when(t.startswith("<"), t).otherwise(F.concat(F.lit("p "), F.regexp_replace(t, "[^a-zA-Z]", "x")))
+    source = F.array_join(F.transform(F.regexp_extract_all(bare, F.lit("(<[^<>]+>|[^<>]+)"), 1), block), "\n\n")
+    found = markdown.html_wrappers(markdown.blocks(p.select("page_id", source.alias("source"))))
+    return found.select("page_id", "sort_order", "block_type", F.md5(F.col("markdown").cast("binary")).alias("markdown_md5"), "close_tag", "parent")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+c AS (SELECT doc_id, i, regexp_replace(line, '[^a-zA-Z ,.]', 'x', 'g') AS line FROM l)
+SELECT doc_id AS page_id, i * 2 AS sort_order, CASE i % 3 WHEN 0 THEN 'listItem[0]>code[1]' WHEN 1 THEN 'list[1]>listItem[0]>code[0]' END AS path, 'rust' AS lang, md5(chr(96) || chr(96) || chr(96) || 'rust' || chr(10) || line || chr(10) || chr(96) || chr(96) || chr(96)) AS code_md5,
+  i * 20 + CASE i % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS start_line FROM c""")
+def nested_code(spark, d):
+    """Each line as code in a list item, in a list inside a quote, or on its own; a page is a document, twenty lines to each."""
+    doc = L.table(workers_import(spark), d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    line, fence = F.regexp_replace("line", "[^a-zA-Z ,.]", "x"), F.lit("```")
+    item = F.concat(F.lit("- a\n  ```rust\n  "), line, F.lit("\n  ```"))
+    quote = F.concat(F.lit("> q\n>\n> - ```rust\n>   "), line, F.lit("\n>   ```"))
+    alone = F.concat(fence, F.lit("rust\n"), line, F.lit("\n"), fence)
+    made = F.when(F.col("i") % 3 == 0, item).when(F.col("i") % 3 == 1, quote).otherwise(alone)
+    padded = F.concat(made, F.repeat(F.lit("\n"), 19 - F.when(F.col("i") % 3 == 0, 3).when(F.col("i") % 3 == 1, 4).otherwise(2)), F.lit("---"))
+    listed = F.array_sort(F.collect_list(F.struct("i", padded.alias("m"))))
+    pages = doc.groupBy(F.col("doc_id").alias("page_id")).agg(F.array_join(F.transform(listed, lambda x: x["m"]), "\n").alias("source"))
+    return markdown.code_index(markdown.blocks(pages)).select("page_id", "sort_order", "path", "lang", F.md5(F.col("markdown").cast("binary")).alias("code_md5"), "start_line")
+
+
 def _contents_lines(part, number):
     """A contents line for each part, whose printed page is number."""
     size, page = F.col("p_size"), F.concat(F.lit(" ..... "), number.cast("string"))
