@@ -19,22 +19,42 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER_ASCII = np.arange(256, dtype=np.uint8)
 LOWER_ASCII[65:91] += 32
 
-BASE = 0x9E3779B97F4A7C15 | 1
+PRIME = (1 << 61) - 1
 #: Texts are scanned in runs of this many bytes, which bounds what a worker holds beside them.
 RUN = 1 << 18
 _STEP = 1 << 16
 U = np.uint64
 
 
+_P, _30, _31 = U(PRIME), U(30), U(31)
+_LOW31, _LOW30 = U((1 << 31) - 1), U((1 << 30) - 1)
+#: Two fixed points, drawn once at random, at which texts are evaluated as polynomials modulo the prime.
+_BASES = (0x1B47C0A6D1E5F3A7 % PRIME, 0x0E63A95B7C21D84F % PRIME)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^61 - 1, or up to 7 more than that."""
+    return (x & _P) + (x >> U(61))
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1 (or up to 7 more), by halves of 31 bits; 2^62 counts as 2, 2^61 as 1."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _fold(a1 * b1 * U(2) + (middle >> _30) + ((middle & _LOW30) << _31) + a0 * b0)
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base & (1 << 64) - 1, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    out, x = np.empty(n, np.uint64), 1
+    for i in range(n):
+        out[i] = x
+        x = x * base % PRIME
+    return out
 
 
-_BASES = (BASE, 0xC2B2AE3D27D4EB4F)
 _LOW = [_powers(b, _STEP) for b in _BASES]
-_LOW_INVERSE = [_powers(pow(b, -1, 1 << 64), _STEP) for b in _BASES]
+_HALVES = [(p & _LOW31, p >> _31) for p in _LOW]
+_LOW_INVERSE = [_powers(pow(b, -1, PRIME), _STEP) for b in _BASES]
 
 
 def text_chunks(column: pa.Array, limit: int = RUN) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -80,29 +100,41 @@ def lookup(table: np.ndarray, data: np.ndarray) -> np.ndarray:
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0) -> np.ndarray:
     """Hash of the bytes of every span; starts and ends must each ascend. base: 0 or 1, for two independent hashes.
 
-    A running polynomial hash is kept for 64 KB at a time only.
+    The bytes are the coefficients of a polynomial modulo the prime 2^61 - 1, so
+    two different spans of n bytes agree at no more than n of its points, however
+    they are built.  Sums are kept for 64 KB at a time only; a span over several
+    of those runs adds them up.
     """
-    high = _powers(pow(_BASES[base], _STEP, 1 << 64), (len(data) >> 16) + 1)
-    inverse = _powers(pow(_BASES[base], -_STEP, 1 << 64), (len(data) >> 16) + 1)
-    first, last = np.empty(len(start), np.uint64), np.empty(len(end), np.uint64)
-    carry, done = U(0), [0, 0]
-    run = np.zeros(_STEP + 1, np.uint64)
+    runs = (len(data) >> 16) + 1
+    whole = np.zeros(runs + 1, np.uint64)  # of all before each run, from the text's beginning
+    high = _powers(pow(_BASES[base], _STEP, PRIME), runs)
+    lo, hi = (np.zeros(_STEP + 1, np.uint64) for _ in range(2))
+    out = [np.empty(len(x), np.uint64) for x in (start, end)]
+    done = [0, 0]
     for j, at in enumerate(range(0, len(data) + 1, _STEP)):
-        d = data[at : at + _STEP]
-        here = run[: len(d) + 1]
-        here[0] = 0
-        np.cumsum((d.astype(np.uint64) + U(1)) * _LOW[base][: len(d)], out=here[1:])
-        here *= high[j]
-        here += carry
-        for k, (place, out) in enumerate(((start, first), (end, last))):
+        d = data[at : at + _STEP].astype(np.uint64) + U(1)
+        n = len(d)
+        np.cumsum(d * _HALVES[base][0][:n], out=lo[1 : n + 1])
+        np.cumsum(d * _HALVES[base][1][:n], out=hi[1 : n + 1])
+        for k, place in enumerate((start, end)):
             upto = done[k] + int(np.searchsorted(place[done[k] :], at + _STEP))
-            out[done[k] : upto] = here[place[done[k] : upto] - at]
+            i = place[done[k] : upto] - at
+            h = _fold(hi[i])
+            out[k][done[k] : upto] = _fold(_fold(lo[i]) + (((h & _LOW30) << _31) | (h >> _30)))
             done[k] = upto
-        carry = here[-1]
-    last -= first
-    last *= _LOW_INVERSE[base][start & (_STEP - 1)] * inverse[start >> 16]
-    last += (end - start).astype(np.uint64)
-    return mix(last)
+        h = int(hi[n]) % PRIME
+        whole[j + 1] = (int(whole[j]) + (int(lo[n]) + (h << 31)) * int(high[j])) % PRIME
+    first, last = out
+    sums = _fold(last + (_P + _P - first))
+    far = np.flatnonzero((start >> 16) != (end >> 16))
+    if far.size:
+        a, z = start[far] >> 16, end[far] >> 16
+        upto = lambda j, x: _fold(whole[j] + _times(high[j], x))
+        back = _powers(pow(_BASES[base], -_STEP, PRIME), runs)
+        sums[far] = _times(_fold(upto(z, last[far]) + (_P + _P - upto(a, first[far]))), back[a])
+    sums = _times(sums, _LOW_INVERSE[base][start & (_STEP - 1)])
+    sums = np.where(sums >= _P, sums - _P, sums)
+    return mix(sums + (end - start).astype(np.uint64) * U(0x9E3779B97F4A7C15))
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -3,8 +3,8 @@
 A byte-level BPE with the usual pre-tokeniser never merges across a single
 space or newline between two visible characters, so a text is cut there and
 the ids of its pieces, put together, are the ids of the text.  The library
-encodes each piece a worker meets for the first time; a hash table over
-128-bit piece identities gives the ids of all later ones.  Places where the cut
+encodes each piece a worker meets for the first time; a hash table of pieces,
+compared byte by byte, gives the ids of all later ones.  Places where the cut
 would not be safe (runs of white space, control characters, Unicode spaces) are
 not cut: the longer piece goes to the library as it is.  Added tokens whose
 literals the library matches are pieces of their own, and what stands on either
@@ -99,44 +99,82 @@ class Encoder:
         self._clear(1 << 16)
 
     def _clear(self, room: int) -> None:
-        self.key, self.sig = np.zeros(room, np.uint64), np.zeros(room, np.uint64)
-        self.at, self.len = np.zeros(room, np.int64), np.full(room, -1, np.int32)
+        self.table = self._empty(room)
         self.flat, self.used, self.n = np.zeros(1 << 16, np.int32), 0, 0
+        self.bytes, self.stored = np.zeros(1 << 16, np.uint8), 0  # of the pieces over 16 bytes
 
-    def _find(self, key: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    def _empty(self, room: int) -> dict[str, np.ndarray]:
+        """A slot: the piece's hash, first and last eight bytes, size, and where the bytes of a long one are; its ids' place and number (-1: free)."""
+        return {c: np.full(room, -1 if c == "ids" else 0, t) for c, t in (("key", np.uint64), ("head", np.uint64), ("tail", np.uint64), ("size", np.int64), ("from", np.int64), ("at", np.int64), ("ids", np.int32))}
+
+    def _equal(self, d: np.ndarray, start: np.ndarray, size: np.ndarray, stored: np.ndarray) -> np.ndarray:
+        """Whether the bytes of long pieces are those stored."""
+        out = np.ones(len(start), bool)
+        short = np.flatnonzero(size <= 4096)
+        for lo in range(0, len(short), 256):
+            k = short[lo : lo + 256]
+            ends = np.cumsum(size[k])
+            each = np.arange(ends[-1])
+            same = d[np.repeat(start[k] - (ends - size[k]), size[k]) + each] == self.bytes[np.repeat(stored[k] - (ends - size[k]), size[k]) + each]
+            out[k] = np.logical_and.reduceat(same, ends - size[k])
+        for k in np.flatnonzero(size > 4096).tolist():
+            out[k] = np.array_equal(d[start[k] : start[k] + size[k]], self.bytes[stored[k] : stored[k] + size[k]])
+        return out
+
+    def _find(self, piece: dict[str, np.ndarray], d: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Slot of each piece, or -1."""
-        mask = U(len(self.key) - 1)
-        slot, todo, p = np.full(key.size, -1, np.int64), np.arange(key.size), (key & mask).astype(np.int64)
+        t = self.table
+        mask = len(t["key"]) - 1
+        slot, todo, p = np.full(len(start), -1, np.int64), np.arange(len(start)), (piece["key"] & U(mask)).astype(np.int64)
         while todo.size:
-            full = self.len[p] >= 0
-            same = full & (self.key[p] == key[todo]) & (self.sig[p] == sig[todo])
+            full = t["ids"][p] >= 0
+            same = full.copy()
+            for c in ("key", "size", "head", "tail"):
+                same &= t[c][p] == piece[c][todo]
+            long = np.flatnonzero(same & (piece["size"][todo] > 16))
+            if long.size:
+                k = todo[long]
+                same[long] = self._equal(d, start[k], piece["size"][k], t["from"][p[long]])
             slot[todo[same]] = p[same]
             go = full & ~same
-            todo, p = todo[go], (p[go] + 1) & int(mask)
+            todo, p = todo[go], (p[go] + 1) & mask
         return slot
 
-    def _insert(self, key: np.ndarray, sig: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
-        if (self.n + key.size) * 2 > len(self.key):
-            old = np.flatnonzero(self.len >= 0)
-            room = len(self.key)
-            while (self.n + key.size) * 2 > room:
+    def _insert(self, new: dict[str, np.ndarray]) -> None:
+        count = len(new["key"])
+        if (self.n + count) * 2 > len(self.table["key"]):
+            old = np.flatnonzero(self.table["ids"] >= 0)
+            room = len(self.table["key"])
+            while (self.n + count) * 2 > room:
                 room *= 2
-            key, sig, at, size = (np.concatenate([a[old], b]) for a, b in ((self.key, key), (self.sig, sig), (self.at, at), (self.len, size)))
-            self.key, self.sig, self.at, self.len, self.n = np.zeros(room, np.uint64), np.zeros(room, np.uint64), np.zeros(room, np.int64), np.full(room, -1, np.int32), 0
-        mask = len(self.key) - 1
-        todo, p = np.arange(key.size), (key & U(mask)).astype(np.int64)
+            new = {c: np.concatenate([self.table[c][old], new[c]]) for c in new}
+            self.table, self.n, count = self._empty(room), 0, len(new["key"])
+        mask = len(self.table["key"]) - 1
+        todo, p = np.arange(count), (new["key"] & U(mask)).astype(np.int64)
         while todo.size:
-            free = self.len[p] < 0
+            free = self.table["ids"][p] < 0
             _, first = np.unique(p[free], return_index=True)
             won = np.flatnonzero(free)[first]
-            w, q = todo[won], p[won]
-            self.key[q], self.sig[q], self.at[q], self.len[q] = key[w], sig[w], at[w], size[w]
+            for c, v in new.items():
+                self.table[c][p[won]] = v[todo[won]]
             rest = np.ones(todo.size, bool)
             rest[won] = False
             todo, p = todo[rest], p[rest]
-            taken = self.len[p] >= 0
-            p = np.where(taken, (p + 1) & mask, p)
-        self.n += key.size
+            p = np.where(self.table["ids"][p] >= 0, (p + 1) & mask, p)
+        self.n += count
+
+    def _distinct(self, raw: bytes, start: np.ndarray, end: np.ndarray, piece: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+        """Of the pieces ``at``, one of each: up to 16 bytes are told apart by both ends and the size, longer ones by all their bytes."""
+        short = at[piece["size"][at] <= 16]
+        order = short[np.lexsort([piece[c][short] for c in ("size", "tail", "head")])]
+        if order.size:
+            differs = np.ones(order.size, bool)
+            differs[1:] = np.logical_or.reduce([piece[c][order][1:] != piece[c][order][:-1] for c in ("size", "tail", "head")])
+            order = order[differs]
+        seen: dict[bytes, int] = {}
+        for k in at[piece["size"][at] > 16].tolist():
+            seen.setdefault(raw[start[k] : end[k]], k)
+        return np.concatenate([order, np.fromiter(seen.values(), np.int64, len(seen))]).astype(np.int64)
 
     def _joined(self, words: list[bytes], lead: int) -> tuple[np.ndarray, np.ndarray]:
         """ids of words that the library sees a thousand at a time; lead: ids before each that are not its own."""
@@ -200,29 +238,39 @@ class Encoder:
         if not start.size:
             return np.zeros(0, np.int32), np.zeros(rows, np.int64)
         size = end - start
-        key = span_hash(d, start, end)
         pad = np.concatenate([d, np.zeros(8, np.uint8)])
         eight = np.ndarray(len(d), "<u8", pad, strides=(1,))
-        sig = mix((eight[start] & MASK[np.minimum(size, 8)]) + U(0x9FB21C651E98DF25) * (eight[np.maximum(end - 8, start)] & MASK[np.minimum(size, 8)]) + size.astype(np.uint64))
-        slot = self._find(key, sig)
+        ends_in = MASK[np.minimum(size, 8)]
+        piece = {"size": size, "head": eight[start] & ends_in, "tail": eight[np.maximum(end - 8, start)] & ends_in}
+        piece["key"] = mix(piece["head"] + U(0x9FB21C651E98DF25) * piece["tail"] + size.astype(np.uint64))
+        long = np.flatnonzero(size > 16)
+        if long.size:
+            piece["key"][long] = span_hash(d, start[long], end[long])
+        slot = self._find(piece, d, start)
         miss = np.flatnonzero(slot < 0)
         if miss.size:
             if self.n and self.n + miss.size > MOST:
                 self._clear(1 << 16)
-                miss = np.arange(key.size)
-            _, first = np.unique(key[miss] ^ mix(sig[miss]), return_index=True)
-            new = miss[first]
+                miss = np.arange(len(start))
+            new = self._distinct(raw, start, end, piece, miss)
             order, got, n = self._library(raw, start[new], end[new], d, seen)
             new = new[order]
             while self.used + got.size > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
             self.flat[self.used : self.used + got.size] = got
-            self._insert(key[new], sig[new], self.used + np.cumsum(n, dtype=np.int64) - n, n)
+            kept = np.where(size[new] > 16, size[new], 0)
+            place = self.stored + np.cumsum(kept) - kept
+            while self.stored + kept.sum() > len(self.bytes):
+                self.bytes = np.concatenate([self.bytes, np.zeros(len(self.bytes), np.uint8)])
+            for k, q in zip(new[kept > 0].tolist(), place[kept > 0].tolist(), strict=True):
+                self.bytes[q : q + size[k]] = d[start[k] : end[k]]
+            self.stored += int(kept.sum())
+            self._insert({**{c: v[new] for c, v in piece.items()}, "from": place, "at": self.used + np.cumsum(n, dtype=np.int64) - n, "ids": n.astype(np.int32)})
             self.used += got.size
-            slot = self._find(key, sig)
-        n = self.len[slot].astype(np.int64)
+            slot = self._find(piece, d, start)
+        n = self.table["ids"][slot].astype(np.int64)
         ends = np.cumsum(n)
-        ids = self.flat[np.repeat(self.at[slot] - (ends - n), n) + np.arange(ends[-1])]
+        ids = self.flat[np.repeat(self.table["at"][slot] - (ends - n), n) + np.arange(ends[-1])]
         upto = np.searchsorted(start, offs[1:], "left")
         return ids, np.where(upto > 0, ends[np.maximum(upto - 1, 0)], 0)
 
