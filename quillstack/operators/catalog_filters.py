@@ -140,15 +140,31 @@ def upsert_names(old: DataFrame, wanted: DataFrame, key: str = "id", name: str =
 
 
 def relink(users: DataFrame, logins: DataFrame) -> DataFrame:
-    """users with the subjects of new logins: by subject if it is known, else the oldest account of the same address that has none.
-
-    users: id, email, subject, created_at.  logins: email, subject.  A subject
-    that is linked already changes nothing, and is linked to one account only.
+    """users after the logins: marked accounts go to their owner's subject, known subjects get their new address, others become accounts.
+
+    users: id, email, subject, created_at, relink.  logins: subject, email,
+    verified, at.  A verified login whose subject no account has takes the oldest
+    account of its address (without regard to case) that is marked ``relink``,
+    and the mark goes; of several new subjects with one address, each takes the
+    next, in the order of their first logins.  A subject's last login gives its
+    address.  New accounts' ids follow the largest, in order of the subjects.
+    Logins without a subject count for nothing.
     """
-    new = logins.where("subject is not null and email is not null").join(users.select("subject"), "subject", "left_anti")
-    new = new.groupBy("email").agg(F.min("subject").alias("_s")).groupBy("_s").agg(F.min("email").alias("email"))
-    target = oldest(users.where("subject is null"), ["email"]).join(new, "email").select("id", "_s")
-    return users.join(target, "id", "left").withColumn("subject", F.coalesce("subject", "_s")).drop("_s").select(*users.columns)
+    from .ranking import numbered
+
+    real = logins.where("subject is not null").withColumn("email", F.lower("email"))
+    last = real.groupBy("subject").agg(F.max_by("email", F.struct("at", "email")).alias("_email"), F.min("at").alias("_since"))
+    first = real.where("verified and coalesce(email, '') <> ''").join(users.select("subject").where("subject is not null"), "subject", "left_anti").groupBy("subject").agg(F.min(F.struct("at", "email")).alias("_f"))
+    turn = first.select("subject", F.col("_f.email").alias("_key"), F.row_number().over(Window.partitionBy("_f.email").orderBy("_f.at", "subject")).alias("_n"))
+    marked = users.where("relink and email is not null").select("id", F.lower("email").alias("_key"), F.row_number().over(Window.partitionBy(F.lower("email")).orderBy("created_at", "id")).alias("_n"))
+    given = marked.join(turn, ["_key", "_n"]).select("id", F.col("subject").alias("_s"))
+    owned = users.join(given, "id", "left").withColumns({"subject": F.coalesce("_s", "subject"), "relink": F.when(F.col("_s").isNotNull(), False).otherwise(F.col("relink"))}).drop("_s")
+    known = owned.join(last, "subject", "left").withColumn("email", F.coalesce("_email", "email")).select(*users.columns)
+    fresh = last.join(owned.select("subject").where("subject is not null"), "subject", "left_anti")
+    top = users.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_top"))
+    new = numbered(fresh, ["subject"], "_n").join(F.broadcast(top))
+    made = {"id": (F.col("_top") + F.col("_n")).cast(users.schema["id"].dataType), "email": F.col("_email"), "subject": F.col("subject"), "created_at": F.col("_since").cast(users.schema["created_at"].dataType), "relink": F.lit(False)}
+    return known.unionByName(new.select(*(made.get(c, F.lit(None)).alias(c) for c in users.columns)))
 
 
 def replace_links(links: DataFrame, wanted: DataFrame, left: str) -> DataFrame:
@@ -164,15 +180,15 @@ def delete_unused(rows: DataFrame, asked: DataFrame, users: list[tuple[DataFrame
 
 
 def save_drafts(sections: DataFrame, revisions: DataFrame, drafts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sections with their new drafts, revisions with one more for each draft that differs from the saved one).
+    """(sections, each with the last of its drafts; revisions with one more for every draft that was saved, changed or not).
 
-    sections: id, draft_markdown.  drafts: id, markdown, saved_at.  revisions: section_id, markdown, saved_at.
+    sections: id, draft_markdown.  drafts: id, markdown, saved_at.  revisions:
+    section_id, markdown, saved_at.  Drafts without a text or of no section are refused.
     """
-    d = drafts.select("id", F.col("markdown").alias("_m"), "saved_at")
-    both = sections.join(d, "id", "left")
-    changed = both.where(F.col("_m").isNotNull() & ~F.col("_m").eqNullSafe(F.col("draft_markdown")))
-    more = changed.select(F.col("id").alias("section_id"), F.col("_m").alias("markdown"), "saved_at")
-    return both.withColumn("draft_markdown", F.coalesce("_m", "draft_markdown")).select(*sections.columns), revisions.unionByName(more.select(*revisions.columns))
+    saved = drafts.where("markdown is not null").join(sections.select("id"), "id", "left_semi")
+    last = saved.groupBy("id").agg(F.max(F.struct("saved_at", "markdown"))["markdown"].alias("_m"))
+    now = sections.join(last, "id", "left").withColumn("draft_markdown", F.coalesce("_m", "draft_markdown")).select(*sections.columns)
+    return now, revisions.unionByName(saved.select(F.col("id").alias("section_id"), "markdown", "saved_at").select(*revisions.columns))
 
 
 def restore(revisions: DataFrame, blocks: DataFrame) -> DataFrame:

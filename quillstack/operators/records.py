@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.unicode import term_key
+
 
 def upsert_latest(base: DataFrame, delta: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """base with delta's rows in place of those of equal keys; the last in order wins among delta's own."""
@@ -81,13 +83,14 @@ def not_stored(files: DataFrame, stored: DataFrame) -> DataFrame:
 def first_wins(terms: DataFrame, key: str, expansion: str, order: str) -> DataFrame:
     """term rows with verdict: the first definition of a key is kept; later ones are duplicates or conflicts.
 
-    Conflicts are the later rows whose expansion differs from the first one's without regard to case.
+    Conflicts are the later rows whose expansion differs from the first one's
+    without regard to case, white space and compatibility forms.
     """
     w = Window.partitionBy(key).orderBy(order)
-    first = F.first(expansion).over(w)
     n = F.row_number().over(w)
-    verdict = F.when(n == 1, "kept").when(F.lower(F.col(expansion)) == F.lower(first), "duplicate").otherwise("conflict")
-    return terms.withColumns({"verdict": verdict, "kept_expansion": first})
+    same = F.col("_same").eqNullSafe(F.first("_same").over(w))
+    judged = terms.withColumn("_same", term_key(F.col(expansion)))
+    return judged.withColumns({"verdict": F.when(n == 1, "kept").when(same, "duplicate").otherwise("conflict"), "kept_expansion": F.first(expansion).over(w)}).drop("_same")
 
 
 def conflicts(terms: DataFrame, key: str, expansion: str, order: str) -> DataFrame:

@@ -93,16 +93,22 @@ def keep_line_ends(before: Column, after: Column) -> Column:
     return F.when(before.contains("\r\n"), F.regexp_replace(after, r"\r?\n", "\r\n")).otherwise(after)
 
 
+#: Where a slash begins a regular expression, not a division; for-heads with brackets inside brackets; comments.
+REGEX_LITERAL = r"(?:^|[=(,:\[!&|?{};>]|\breturn|\btypeof|\bcase)\s*/(?![/*])"
+DEEP_HEAD = r"\bfor\s*\([^()]*\([^()]*\("
+
+
 def unmangle(df: DataFrame, code: str = "code") -> DataFrame:
     """df with language, result and skipped: why the code was left unchanged, null where it was laid out.
 
-    A result has the tokens of the input, one by one; code with template
-    literals or line comments, whose ends a new line would move, stays.
+    A result has the tokens of the input, one by one.  Code with template
+    literals, comments, regular expressions or a for-head with calls inside
+    calls stays: these hold signs at which a line must not be broken.
     """
     laid = df.withColumns({"language": language(F.col(code)), "_new": broken(F.col(code))})
     skipped = (
         F.when(F.col("language").isNull(), "no known language").when(is_output(F.col(code)), "program output").when(~is_flattened(F.col(code)), "not flattened").when(~F.col("language").isin("java", "js", "rust"), "no layout for this language")
-        .when(F.col(code).contains("`") | F.col(code).rlike(r"(?<![:\"'])//"), "template or comment").when(tokens(F.col("_new")) != tokens(F.col(code)), "tokens would change")
+        .when(F.col(code).contains("`") | F.col(code).contains("/*") | F.col(code).rlike(r"(?<![:\"'])//"), "template or comment").when(F.col(code).rlike(REGEX_LITERAL), "regular expression").when(F.col(code).rlike(DEEP_HEAD), "deep brackets").when(tokens(F.col("_new")) != tokens(F.col(code)), "tokens would change")
     )
     return laid.withColumn("skipped", skipped).withColumn("result", F.when(F.col("skipped").isNull(), F.col("_new")).otherwise(F.col(code))).withColumn("result", keep_line_ends(F.col(code), F.col("result"))).drop("_new")
 

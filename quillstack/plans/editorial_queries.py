@@ -132,14 +132,23 @@ def upsert_authors(spark, d):
     return C.upsert_names(old, p.select(F.col("p_name").alias("name")))
 
 
-@query("""WITH u AS (SELECT c_custkey AS id, 'n' || c_nationkey AS email, CASE WHEN c_custkey % 3 = 0 THEN 's' || c_custkey END AS subject FROM customer),
-t AS (SELECT min(id) AS id, email FROM u WHERE subject IS NULL AND email NOT IN ('n3') GROUP BY email)
-SELECT u.id, u.email, coalesce(u.subject, 'new-' || t.email) AS subject FROM u LEFT JOIN t ON t.id = u.id""")
+@query("""WITH RECURSIVE u AS (SELECT c_custkey AS id, 'N' || c_nationkey || '@x' AS email, CASE WHEN c_custkey % 3 = 0 THEN 's' || c_custkey END AS subject, c_custkey % 17 AS created_at, c_custkey % 3 = 1 AS relink FROM customer),
+l AS (SELECT 'new' || s_suppkey AS subject, 'n' || s_nationkey || '@x' AS email, s_suppkey % 4 > 0 AS verified, s_suppkey AS since FROM supplier UNION ALL SELECT 's' || c_custkey, 'moved@x', true, c_custkey FROM customer WHERE c_custkey % 6 = 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY since) AS n FROM l WHERE verified AND subject NOT IN (SELECT subject FROM u WHERE subject IS NOT NULL)),
+m AS (SELECT id, lower(email) AS email, row_number() OVER (PARTITION BY lower(email) ORDER BY created_at, id) AS n FROM u WHERE relink),
+g AS (SELECT m.id, f.subject FROM m JOIN f USING (email, n)),
+o AS (SELECT u.id, u.email, coalesce(g.subject, u.subject) AS subject, u.relink AND g.subject IS NULL AS relink FROM u LEFT JOIN g USING (id))
+SELECT o.id, coalesce(l.email, o.email) AS email, o.subject, relink FROM o LEFT JOIN l USING (subject)
+UNION ALL SELECT (SELECT max(id) FROM u) + row_number() OVER (ORDER BY subject), email, subject, false FROM l WHERE subject NOT IN (SELECT subject FROM o WHERE subject IS NOT NULL)""")
 def relink_accounts(spark, d):
-    """New logins take the oldest account of their address; one subject is linked already and changes nothing."""
-    users = L.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("email"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("s"), F.col("c_custkey").cast("string"))).alias("subject"), F.col("c_custkey").alias("created_at"))
-    logins = users.select("email").distinct().withColumn("subject", F.when(F.col("email") == "n3", "s3").otherwise(F.concat(F.lit("new-"), "email")))
-    return C.relink(users, logins).select("id", "email", "subject")
+    """Marked accounts go to new subjects of their address, whatever its case; known subjects get a new address; the rest are new accounts."""
+    c = L.table(spark, d, "customer")
+    key = F.col("c_custkey")
+    users = c.select(key.alias("id"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string"), F.lit("@x")).alias("email"), F.when(key % 3 == 0, F.concat(F.lit("s"), key.cast("string"))).alias("subject"), (key % 17).alias("created_at"), (key % 3 == 1).alias("relink"))
+    s = L.table(spark, d, "supplier")
+    new = s.select(F.concat(F.lit("new"), F.col("s_suppkey").cast("string")).alias("subject"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("@x")).alias("email"), (F.col("s_suppkey") % 4 > 0).alias("verified"), F.col("s_suppkey").alias("at"))
+    moved = c.where(key % 6 == 0).select(F.concat(F.lit("s"), key.cast("string")).alias("subject"), F.lit("moved@x").alias("email"), F.lit(True).alias("verified"), key.alias("at"))
+    return C.relink(users, new.unionByName(moved)).select("id", "email", "subject", "relink")
 
 
 @query("SELECT l_orderkey AS book, l_partkey AS author FROM lineitem WHERE l_orderkey % 4 <> 1 UNION ALL SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey % 4 = 1")
@@ -157,13 +166,17 @@ def guarded_delete(spark, d):
     return stay
 
 
-@query("SELECT p_partkey AS section_id, p_brand AS markdown FROM part WHERE p_size % 2 = 0 AND p_brand IS DISTINCT FROM CASE WHEN p_size % 4 = 0 THEN p_name END")
+@query("""WITH s AS (SELECT p_partkey AS id, p_partkey % 40 AS section, p_brand AS markdown, p_size FROM part), t AS (SELECT * FROM s WHERE p_size % 9 > 0)
+SELECT section AS id, arg_max(markdown, id) AS draft_markdown, count(*) AS revisions FROM t GROUP BY section
+UNION ALL SELECT p_partkey, p_name, 0 FROM part WHERE p_partkey NOT IN (SELECT section FROM t)""")
 def draft_revisions(spark, d):
+    """Many drafts of forty sections, some without a text, unchanged ones too: the last one stays, each is a revision."""
     p = L.table(spark, d, "part")
-    sections = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 4 == 0, F.col("p_name")).alias("draft_markdown"))
-    drafts = p.where("p_size % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("markdown"), F.lit(1).alias("saved_at"))
-    empty = spark.createDataFrame([], "section_id long, markdown string, saved_at int")
-    return C.save_drafts(sections, empty, drafts)[1].select("section_id", "markdown")
+    sections = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("draft_markdown"))
+    drafts = p.select((F.col("p_partkey") % 40).alias("id"), F.when(F.col("p_size") % 9 > 0, F.col("p_brand")).alias("markdown"), F.col("p_partkey").alias("saved_at"))
+    now, revisions = C.save_drafts(sections, spark.createDataFrame([], "section_id long, markdown string, saved_at long"), drafts)
+    counts = revisions.groupBy(F.col("section_id").alias("id")).agg(F.count("*").alias("revisions"))
+    return now.join(counts, "id", "left").select("id", "draft_markdown", F.coalesce("revisions", F.lit(0)).alias("revisions"))
 
 
 @query("SELECT conv_id AS revision_id, CASE WHEN conv_id % 3 = 0 THEN 'own' ELSE string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, role, text) END AS markdown FROM conversations GROUP BY conv_id")

@@ -84,18 +84,22 @@ def glossary_tables(spark, d):
     return out.select("p_partkey", "kept", F.size("entries").alias("n"), F.element_at("columns", 1).alias("head"))
 
 
-@query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
-SELECT o_custkey AS book, 't' || min(o_orderkey) AS term, string_agg('फ' || o_orderkey, ' ' ORDER BY o_orderkey) FILTER (n % 3 <> 1) AS meaning FROM c WHERE o_custkey % 5 <> 0 GROUP BY o_custkey, (n - 1) // 3
-UNION ALL SELECT o_custkey, 't' || o_orderkey, '' FROM c WHERE false""")
+@query("""WITH RECURSIVE c AS (SELECT o_custkey AS book, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, CASE WHEN o_orderkey % 7 < 3 THEN 'term' WHEN o_orderkey % 7 < 6 THEN 'meaning' ELSE 'other' END AS kind FROM orders),
+r AS (SELECT *, (n - 1) // 2 AS page, lag(kind) OVER (PARTITION BY book, (n - 1) // 2 ORDER BY n) AS before FROM c),
+p AS (SELECT book, page, bool_or(kind = 'other' OR (kind = 'term' AND coalesce(before, '') = 'term')) AS bad, arg_min(kind, n) AS first, arg_max(kind, n) AS last, count(*) FILTER (kind = 'term') AS terms FROM r GROUP BY ALL),
+walk(book, page, ok, is_open) AS (SELECT DISTINCT book, -1::BIGINT, false, false FROM p
+  UNION ALL SELECT book, page, x IS TRUE, x IS TRUE AND last = 'term' FROM (SELECT p.*, NOT bad AND terms > 0 AND (first = 'term' OR w.is_open) AS x FROM walk w JOIN p ON p.book = w.book AND p.page = w.page + 1)),
+g AS (SELECT r.*, count(*) FILTER (kind = 'term') OVER (PARTITION BY r.book ORDER BY n) AS t FROM r JOIN walk w ON w.book = r.book AND w.page = r.page WHERE ok)
+SELECT book, max('t' || o_orderkey) FILTER (kind = 'term') AS term, string_agg('फ' || o_orderkey, ' ' ORDER BY n) FILTER (kind = 'meaning') AS meaning FROM g GROUP BY book, t""")
 def glossary_pairs(spark, d):
-    """A term, then two meanings, over pages of two paragraphs: pages begin in the middle of a term; every fifth book has two terms in a row throughout."""
+    """Terms, meanings and others over pages of two paragraphs: pages that begin with a meaning behind paired, refused and closed ones."""
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    rows = L.table(spark, d, "orders").withColumn("n", n).select(F.col("o_custkey").alias("book"), F.floor((F.col("n") - 1) / 300).alias("page"), "n", "o_orderkey")
-    term = (F.col("n") % 3 == 1) | (F.col("book") % 5 == 0)
-    text = F.concat(F.when(term, "t").otherwise("फ"), F.col("o_orderkey").cast("string"))
-    out, _ = G.paired(rows.select("book", "page", F.col("n").alias("place"), F.when(F.col("book") % 5 == 0, F.lit("…")).otherwise(text).alias("text")))
+    rows = L.table(workers_import(spark), d, "orders").withColumn("n", n).select(F.col("o_custkey").alias("book"), F.floor((F.col("n") - 1) / 2).alias("page"), "n", "o_orderkey")
+    kind = F.col("o_orderkey") % 7
+    text = F.when(kind < 6, F.concat(F.when(kind < 3, "t").otherwise("फ"), F.col("o_orderkey").cast("string"))).otherwise("…")
+    out, _ = G.paired(rows.select("book", "page", F.col("n").alias("place"), text.alias("text")))
     return out.select("book", "term", F.nullif("meaning", F.lit("")).alias("meaning"))
 
 

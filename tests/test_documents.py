@@ -142,6 +142,9 @@ def test_running_number(spark):
 
 
 def test_listings_whose_meaning_a_break_would_change_stay(spark):
+    odd = ["let r = /a;b/; f();", "for (let i = 0; i < f(g(x)); i++) { let a = 1; }", "let a = 1; /* t; u */ f();"]
+    kept = unmangle.unmangle(spark.createDataFrame(list(enumerate(odd)), "id int, code string")).orderBy("id").collect()
+    assert [r.skipped for r in kept] == ["regular expression", "deep brackets", "template or comment"] and [r.result for r in kept] == odd
     codes = ["const x = `a; b`;", "let a = 1; // note; more", 'let u = "http://x; y"; f();', "let a = 1;\r\n"]
     got = unmangle.unmangle(spark.createDataFrame(list(enumerate(codes)), "id int, code string")).orderBy("id").collect()
     assert [r.skipped for r in got[:3]] == ["template or comment", "template or comment", None]

@@ -7,7 +7,7 @@ from quillstack.functions import text as X
 from quillstack.functions import unicode as N
 from quillstack.functions.stemming import stem
 from quillstack.operators import catalog_filters as C
-from quillstack.operators import fulltext, glossary, tree
+from quillstack.operators import fulltext, glossary, records, tree
 from quillstack.operators.search import parse_query
 
 
@@ -55,6 +55,9 @@ def test_glossary_pages(spark):
     rows = [(1, 1, "apple"), (1, 2, "सेब"), (1, 3, "pear"), (2, 1, "नाश"), (2, 2, "और"), (3, 1, "plum"), (3, 2, "fig"), (4, 1, "kiwi"), (4, 2, "फल")]
     pairs, bad = glossary.paired(spark.createDataFrame([("b", *r) for r in rows], "book string, page int, place int, text string"))
     assert {(r.term, r.meaning) for r in pairs.collect()} >= {("apple", "सेब"), ("kiwi", "फल")} and 3 in {r.page for r in bad.collect()}
+    rows = [(1, 1, "apple"), (1, 2, "सेब"), (2, 1, "नाश"), (2, 2, "plum"), (3, 1, "फल"), (3, 2, "kiwi"), (3, 3, "कीवी"), (4, 1, "fig"), (5, 1, "अंजीर"), (5, 2, "date"), (6, 1, "खजूर")]
+    pairs, bad = glossary.paired(spark.createDataFrame([("b", *r) for r in rows], "book string, page int, place int, text string"))
+    assert {(r.term, r.meaning) for r in pairs.collect()} == {("apple", "सेब"), ("fig", "अंजीर"), ("date", "")} and {r.page for r in bad.collect()} == {2, 3, 6}
     d = glossary.dictionary(spark.createDataFrame([(1, "- **a** one"), (2, "* **a** – two"), (3, "- **a** on"), (4, "x")], "place int, line string"), [], "place")
     assert d.first().expansion == "one; two"
 
@@ -67,9 +70,16 @@ def test_trees_deeper_than_a_hundred(spark):
 
 
 def test_editorial_state(spark):
-    users = spark.createDataFrame([(1, "a", None, 5), (2, "a", None, 3), (3, "b", "s3", 1), (4, None, None, 1)], "id int, email string, subject string, created_at int")
-    logins = spark.createDataFrame([("a", "new"), ("b", "s3"), ("c", "x"), (None, "y")], "email string, subject string")
-    assert {r.id: r.subject for r in C.relink(users, logins).collect()} == {1: None, 2: "new", 3: "s3", 4: None}
+    users = spark.createDataFrame([(1, "a", None, 5, True), (2, "A", None, 3, True), (3, "b", "s3", 1, True), (4, None, None, 1, True), (5, "c", None, 1, False)], "id int, email string, subject string, created_at int, relink boolean")
+    logins = spark.createDataFrame([("a", "new", True, 1), ("B2", "s3", True, 1), ("c", "x", True, 2), (None, "y", True, 3), ("a", "unproven", False, 0), ("a", None, True, 9)], "email string, subject string, verified boolean, at int")
+    got = {r.id: (r.subject, r.email, r.relink) for r in C.relink(users, logins).collect()}
+    assert got == {1: (None, "a", True), 2: ("new", "a", False), 3: ("s3", "b2", True), 4: (None, None, True), 5: (None, "c", False), 6: ("unproven", "a", False), 7: ("x", "c", False), 8: ("y", None, False)}
+    sections = spark.createDataFrame([(1, "same"), (2, None)], "id int, draft_markdown string")
+    drafts = spark.createDataFrame([(1, "same", 1), (2, "a", 1), (2, "b", 2), (2, None, 3), (9, "z", 1)], "id int, markdown string, saved_at int")
+    now, revisions = C.save_drafts(sections, spark.createDataFrame([], "section_id int, markdown string, saved_at int"), drafts)
+    assert {tuple(r) for r in now.collect()} == {(1, "same"), (2, "b")} and sorted(tuple(r)[:2] for r in revisions.collect()) == [(1, "same"), (2, "a"), (2, "b")]
+    terms = spark.createDataFrame([(1, "k", "an interface"), (2, "k", "An  interface"), (3, "k", "ａn interface"), (4, "k", "other")], "o int, key string, e string")
+    assert [r.verdict for r in records.first_wins(terms, "key", "e", "o").orderBy("o").collect()] == ["kept", "duplicate", "duplicate", "conflict"]
     old = spark.createDataFrame([(1, "x"), (7, "y")], "id long, name string")
     got = {(r.id, r.name) for r in C.upsert_names(old, spark.createDataFrame([("y",), ("b",), ("a",), (None,), ("a",)], "name string")).collect()}
     assert got == {(1, "x"), (7, "y"), (8, "a"), (9, "b")}
