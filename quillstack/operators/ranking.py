@@ -5,17 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the whole cluster shares: ``spark.checkpoint.dir``; a local master without it takes one under the temp folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        base = f"file://{tempfile.gettempdir()}/quillstack-{spark.sparkContext.applicationId}"
+    return base.rstrip("/")
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df written once to the folder that the whole cluster shares (``spark.checkpoint.dir``) and read back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quillstack-{spark.sparkContext.applicationId}"
-    path = f"{base.rstrip('/')}/quillstack/{tag}-{uuid.uuid4().hex}"
+    """df written once to the shared folder and read back."""
+    path = f"{shared_dir(df.sparkSession)}/quillstack/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: list[Column | str], name: str = "place") -> DataFrame:

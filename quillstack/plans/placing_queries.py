@@ -10,8 +10,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import organize, placing
+from ..operators.ranking import shared_dir
 from ..session import workers_import
 from ..sources import library as L
+from ..sources import versions
 from .registry import query
 
 
@@ -155,3 +157,24 @@ def folders_split(spark, d):
     index = (F.row_number().over(Window.partitionBy("book", "folder").orderBy("file")) - 1).alias("index")
     starts = doc.select("book", "folder", "file", "text", index).where((F.size(F.split("text", "\n")) >= 3) & (F.col("file") % 2 == 0)).select("book", "folder", "file", F.lit(3).alias("line"), "index")
     return organize.split_folders(pages, starts).select("book", "folder", "file", "owner", F.md5(F.col("text").cast("binary")).alias("text_md5"), "split")
+
+
+@query("""WITH s AS (SELECT lang AS book, doc_id, CASE WHEN lang = 'fr' THEN md5(text) ELSE text END AS text FROM documents WHERE lang <> 'es' OR doc_id % 2 = 0)
+SELECT book, 'sections' AS table_name, count(*) AS rows, max(md5(text)) AS last FROM s GROUP BY book
+UNION ALL SELECT book, 'sources', count(DISTINCT source), max(md5(source)) FROM (SELECT lang AS book, source FROM documents WHERE lang <> 'fr') GROUP BY book""")
+def versions_loaded(spark, d):
+    """Books loaded one after the other, one loaded anew with other texts and fewer tables, one with half its sections: what the last version shows."""
+    import uuid
+
+    doc = L.table(spark, d, "documents").select(F.col("lang").alias("book"), "doc_id", "source", "text")
+    sections = lambda df: df.select("book", "doc_id", "text")
+    sources = lambda df: df.select("book", "source").distinct()
+    root = f"{shared_dir(spark)}/quillstack/versions-{uuid.uuid4().hex}"
+    some, rest = doc.where("book in ('en', 'fr')"), doc.where("book not in ('en', 'fr')")
+    versions.load(spark, root, {"sections": sections(some), "sources": sources(some)})
+    versions.load(spark, root, {"sections": sections(rest), "sources": sources(rest)})
+    versions.reload(spark, root, {"sections": sections(doc.where("book = 'fr'")).withColumn("text", F.md5(F.col("text").cast("binary")))})
+    half = doc.where("book = 'es'")
+    versions.reload(spark, root, {"sections": sections(half.where("doc_id % 2 = 0")), "sources": sources(half)})
+    hashed = lambda name, c: versions.read(spark, root, name).groupBy("book").agg(F.lit(name).alias("table_name"), F.count("*").alias("rows"), F.max(F.md5(F.col(c).cast("binary"))).alias("last"))
+    return hashed("sections", "text").unionByName(hashed("sources", "source"))
