@@ -25,5 +25,5 @@ def test_stages_keep_columns_and_rows_end_in_pieces(spark, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in __spark_entry__.queries() and set(queries.oracle_sql()) <= set(queries.queries())
