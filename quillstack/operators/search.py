@@ -1,4 +1,4 @@
-"""Full-text search over blocks: postings, web-style queries, match, rank, best block, titles, snippets.
+"""Full-text search over blocks by a scan: postings, web-style queries, match, rank, best block, snippets; ``searchindex`` answers the same from an index.
 
 Terms are runs of ASCII letters and digits, lower-cased, as they stand (no
 stemming).  A block's rank is the number of its words that are required terms.
@@ -6,10 +6,11 @@ stemming).  A block's rank is the number of its words that are required terms.
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from dataclasses import dataclass, field
 from functools import reduce
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +27,11 @@ class WebQuery:
     excluded: list[list[str]] = field(default_factory=list)
 
 
-def parse_query(text: str, most: int = 200) -> WebQuery:
-    """``"a phrase"``, ``a or b``, ``-not``; cut to 200 characters first."""
+def parse_query(text: str, most: int = 200, term: str = TERM) -> WebQuery:
+    """``"a phrase"``, ``a or b``, ``-not``; cut to 200 characters first. ``term`` is what a word looks like; text is in compatibility form."""
     out, join = WebQuery(), False
-    for minus, quoted, bare in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', text.strip()[:most]):
-        words = re.findall(TERM, (quoted or bare).lower())
+    for minus, quoted, bare in regex.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', unicodedata.normalize("NFKC", text.strip()[:most])):
+        words = regex.findall(term, (quoted or bare).lower())
         if not minus and not quoted and bare.lower() == "or":
             join = bool(out.groups)
         elif words and minus:
@@ -82,24 +83,6 @@ def damped(score: Column) -> Column:
     return score * F.when(F.col("role").isin("toc", "index"), 0.1).otherwise(1.0)
 
 
-def search_library(visible: DataFrame, blocks: DataFrame, text: str, limit: int = 50) -> DataFrame:
-    """section_id, title, book, score, snippet: text hits and title hits of the visible sections; a title hit adds 1."""
-    query = parse_query(text)
-    hits = best_blocks(blocks, query)
-    titled = F.ilike("title", F.lit("%" + text.strip()[:200] + "%"))
-    scored = visible.join(hits, visible["id"] == hits["section_id"], "left").where(F.col("rank").isNotNull() | titled)
-    score = damped(F.coalesce("rank", F.lit(0)) + F.when(titled, 1).otherwise(0))
-    top = scored.select("id", "title", "book", F.round(score, 6).alias("score"), "line").orderBy(F.desc("score"), "id").limit(limit)
-    return top.select(F.col("id").alias("section_id"), "title", "book", "score", F.col("line").alias("snippet"))
-
-
-def search_book(visible: DataFrame, blocks: DataFrame, book: str, text: str, limit: int = 20) -> DataFrame:
-    """section_id, title, score, line_no: text hits of one book."""
-    hits = best_blocks(blocks, parse_query(text))
-    scored = visible.where(F.col("book") == book).join(hits, visible["id"] == hits["section_id"])
-    return scored.select("section_id", "title", F.round(damped(F.col("rank")), 6).alias("score"), "line_no").orderBy(F.desc("score"), "section_id").limit(limit)
-
-
 def marked(line: Column, words: list[str]) -> Column:
     """The line escaped for HTML with its matching words marked."""
     from ..functions.text import html_escape

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..operators import ranking
 from ..operators import search as S
+from ..operators import searchindex as I
 from ..operators import tree
+from ..session import workers_import
 from ..sources import library as L
+from ..sources import versions
 from .registry import query
 
 
@@ -26,7 +31,27 @@ def vis_single(spark, d):
     return tree.is_visible(L.sections(spark, d), L.books(spark, d), asked)
 
 
-_TERMS = "t AS (SELECT section_id, line_no, line, regexp_extract_all(lower(line), '[a-z0-9]+') AS terms FROM blocks)"
+def _index(spark, d):
+    """The kept index of these tables: built by the first query that asks for it, and again when a table's files change."""
+    root = f"{ranking.shared_dir(spark)}/quillstack/search-{library_mark(spark, d)}"
+    if not versions.manifest(spark, root):
+        I.build(spark, root, L.sections(workers_import(spark), d))
+    return root, tree.visible_sections(I.table(spark, root, "heads"), L.books(spark, d))
+
+
+def library_mark(spark, d) -> str:
+    """A name for the state of the tables that sections come from: their folders, sizes and times."""
+    states = []
+    for name in ("documents", "labels"):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        held = fs.getContentSummary(path)
+        states.append((str(path), held.getLength(), held.getFileCount(), fs.getFileStatus(path).getModificationTime()))
+    return hashlib.sha256(repr(states).encode()).hexdigest()[:24]
+
+
+_TERMS = r"t AS (SELECT section_id, line_no, line, regexp_extract_all(lower(line), '[\p{L}\p{N}\p{M}]+') AS terms FROM blocks)"
+_ASCII_TERMS = "t AS (SELECT section_id, line_no, line, regexp_extract_all(lower(line), '[a-z0-9]+') AS terms FROM blocks)"
 
 
 def _library(match: str, words: str, like: str) -> str:
@@ -42,18 +67,17 @@ _VIEWS = ("sections", "books", "blocks", "visible")
 @query(_library("list_contains(terms, 'the') AND list_contains(terms, 'and')", "'the', 'and'", "%the and%"), *_VIEWS)
 def search_library(spark, d):
     """The flagship: visible sections ranked by their best block and title."""
-    s = L.sections(spark, d)
-    return S.search_library(_visible(spark, d), L.blocks(s), "the and")
+    return I.search_library(spark, *_index(spark, d), "the and")
 
 
 @query(_library("(list_contains(terms, 'they') OR list_contains(terms, 'une')) AND NOT list_contains(terms, 'that')", "'they', 'une'", "%they or une -that%"), *_VIEWS)
 def search_exclude(spark, d):
-    return S.search_library(_visible(spark, d), L.blocks(L.sections(spark, d)), "they or une -that")
+    return I.search_library(spark, *_index(spark, d), "they or une -that")
 
 
 @query(_library("contains(' ' || array_to_string(terms, ' ') || ' ', ' of the ')", "'of', 'the'", '%"of the"%'), *_VIEWS)
 def search_phrase(spark, d):
-    return S.search_library(_visible(spark, d), L.blocks(L.sections(spark, d)), '"of the"')
+    return I.search_library(spark, *_index(spark, d), '"of the"')
 
 
 @query(
@@ -62,7 +86,7 @@ SELECT section_id, title, round(h.rank * CASE WHEN v.role IN ('toc', 'index') TH
     *_VIEWS,
 )
 def search_book(spark, d):
-    return S.search_book(_visible(spark, d), L.blocks(L.sections(spark, d)), "en", "with")
+    return I.search_book(spark, *_index(spark, d), "en", "with")
 
 
 @query("SELECT id, title FROM sections WHERE title ILIKE '%th_r%a%'", "sections")
@@ -72,7 +96,7 @@ def title_ilike(spark, d):
 
 
 @query(
-    f"WITH {_TERMS} SELECT section_id, term, count(*) AS tf, string_agg(line_no || ':' || pos, ' ' ORDER BY line_no, pos) AS places FROM (SELECT section_id, line_no, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS pos FROM t) GROUP BY ALL",
+    f"WITH {_ASCII_TERMS} SELECT section_id, term, count(*) AS tf, string_agg(line_no || ':' || pos, ' ' ORDER BY line_no, pos) AS places FROM (SELECT section_id, line_no, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS pos FROM t) GROUP BY ALL",
     "sections", "blocks",
 )
 def postings(spark, d):

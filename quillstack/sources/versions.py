@@ -42,7 +42,8 @@ def manifest(spark: SparkSession, root: str) -> dict[str, str]:
         stream.close()
 
 
-def _switch(spark: SparkSession, root: str, before: dict[str, str], after: dict[str, str]) -> None:
+def switch(spark: SparkSession, root: str, before: dict[str, str], after: dict[str, str]) -> None:
+    """Make ``after`` the manifest by one rename, if ``before`` still is."""
     jvm, path, files = _file_context(spark, root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     new = jvm.org.apache.hadoop.fs.Path(path, f".{POINTER}-{uuid.uuid4().hex}")
@@ -62,7 +63,7 @@ def _publish(spark: SparkSession, root: str, before: dict[str, str], tables: dic
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{name}")
     after = kept | {name: f"{folder}/{name}" for name in tables}
-    _switch(spark, root, before, after)
+    switch(spark, root, before, after)
     return after
 
 

@@ -60,5 +60,5 @@ def test_two_writers(spark, tmp_path):
     old = versions.manifest(spark, root)
     versions.load(spark, root, tables(spark, ["b"], "two"))
     with pytest.raises(RuntimeError, match="another writer"):
-        versions._switch(spark, root, old, {"books": "nowhere"})
+        versions.switch(spark, root, old, {"books": "nowhere"})
     assert seen(spark, root)["books"] == [("a", "one-books"), ("b", "two-books")]
