@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import contents, markdown, unmangle
+from ..operators import contents, listings, markdown, unmangle
 from ..sources import library as L
 from ..session import workers_import
 from .registry import query
@@ -164,6 +164,23 @@ def unmangle_pages(spark, d):
     return unmangle.unmangle(rows).select("l_orderkey", "l_linenumber", "result", "skipped")
 
 
+@query(
+    r"""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'let r = /a;' || q || '/;' || chr(10) || 'for (let i = 0; i < f(g(' || q || ')); i++) {' || chr(10) || '    /* ' || c || '; */ h(`' || c || '; ${i}`);' || chr(10) || '}'
+  WHEN 1 THEN 'const f = on(e => {' || chr(10) || '    a(' || q || ');' || chr(10) || '    b({k: "' || c || '"});' || chr(10) || '}' || chr(10) || ');' WHEN 2 THEN 'let a = ' || q || '; // ' || c ELSE 'let s = "' || c END AS result,
+  CASE l_linenumber % 4 WHEN 2 THEN 'line comment' WHEN 3 THEN 'open quote' END AS skipped FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity::INT AS q, trim(l_linestatus || ' ' || l_returnflag) AS c FROM lineitem)"""
+)
+def unmangle_modes(spark, d):
+    """A listing a line item, made of its quantity and mode: regular expressions, heads with calls in calls, comments, templates, callbacks; two kinds stay."""
+    q, k, c = F.col("q").cast("string"), F.col("l_linenumber") % 4, F.col("c")
+    code = (
+        F.when(k == 0, F.concat(F.lit("let r = /a;"), q, F.lit("/; for (let i = 0; i < f(g("), q, F.lit(")); i++) { /* "), c, F.lit("; */ h(`"), c, F.lit("; ${i}`); }")))
+        .when(k == 1, F.concat(F.lit("const f = on(e => { a("), q, F.lit('); b({k: "'), c, F.lit('"}); });')))
+        .when(k == 2, F.concat(F.lit("let a = "), q, F.lit("; // "), c)).otherwise(F.concat(F.lit('let s = "'), c))
+    )
+    rows = L.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.trim(F.concat_ws(" ", "l_linestatus", "l_returnflag")).alias("c")).distinct().withColumn("code", code)
+    return listings.unmangle(rows).select("l_orderkey", "l_linenumber", "result", "skipped")
+
+
 @query("SELECT lang AS folder, count(*) AS files, count(*) FILTER (n_chars > 1000) AS changed, count(*) FILTER (doc_id % 3 = 0) AS skipped FROM documents GROUP BY lang")
 def step_report(spark, d):
     files = L.table(spark, d, "documents").select(F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("path"), (F.col("n_chars") > 1000).alias("changed"), F.when(F.col("doc_id") % 3 == 0, "why").alias("skipped"))
