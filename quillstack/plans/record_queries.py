@@ -62,7 +62,7 @@ def me_annotations_all(spark, d):
 @query("SELECT e.event_id, c.c_name AS reader, (e.value::INT % 5 + 1)::INT AS rating, e.ts FROM events e JOIN customer c ON c.c_custkey = e.user_id WHERE e.event_type = 'purchase' AND e.value IS NOT NULL ORDER BY e.ts DESC, e.event_id LIMIT 100")
 def reviews(spark, d):
     e = _events(spark, d, "purchase").where("value is not null").join(L.table(spark, d, "customer"), F.expr("c_custkey = user_id"))
-    rows = e.select("event_id", F.col("c_name").alias("reader"), (F.round("value").cast("int") % 5 + 1).alias("rating"), "ts")
+    rows = e.select("event_id", F.col("c_name").alias("reader"), (F.rint("value").cast("int") % 5 + 1).alias("rating"), "ts")
     return rows.orderBy(F.desc("ts"), "event_id").limit(100)
 
 
