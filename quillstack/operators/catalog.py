@@ -34,6 +34,15 @@ def author_lists(books: DataFrame, authors: DataFrame) -> DataFrame:
     return books.join(names, "book_id", "left").withColumn("author", F.coalesce("_names", "author")).drop("_names")
 
 
+def shared_author_lists(books: DataFrame, authors: DataFrame, on: list[str]) -> DataFrame:
+    """As ``author_lists``, for books that share their authors: a list is made once for all books that agree in ``on``.
+
+    authors: the columns ``on``, name.  Nulls in ``on`` share nothing.
+    """
+    names = authors.groupBy(*on).agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("_names"))
+    return books.join(names, on, "left").withColumn("author", F.coalesce("_names", "author")).drop("_names")
+
+
 def category_counts(categories: DataFrame, books: DataFrame) -> DataFrame:
     """categories with book_count, of books directly in each."""
     n = books.groupBy("category_id").agg(F.count("*").alias("book_count"))
