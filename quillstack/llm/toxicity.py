@@ -88,25 +88,34 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _renumbered(values: np.ndarray, kept: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``kept`` of the values (below n) that are in it, and which those are."""
+    new = np.full(n, -1, np.int32)
+    new[kept] = np.arange(len(kept), dtype=np.int32)
+    place = new[values]
+    keep = place >= 0
+    return place[keep], keep
+
+
 class _Sample:
-    """Labelled rows: (row, term) pairs sorted by row, with terms numbered from 0, and weights that balance the classes."""
+    """Labelled rows: (row, term) pairs sorted by row, with terms numbered from 0, and weights that balance the classes.
+
+    The pairs, some hundreds a row, are what the driver holds most of: 32 bits are enough for either.
+    """
 
     def __init__(self, row: np.ndarray, term: np.ndarray, terms: int, y: np.ndarray):
-        self.row, self.term, self.terms, self.y, self.n = row, term, terms, y, len(y)
+        self.row, self.term = row.astype(np.int32, copy=False), term.astype(np.int32, copy=False)
+        self.terms, self.y, self.n = terms, y, len(y)
         ones = y.sum()
         self.weight = np.where(y == 1, 0.5 / max(ones, 1), 0.5 / max(self.n - ones, 1))
 
     def take(self, rows: np.ndarray) -> _Sample:
-        new = np.full(self.n, -1)
-        new[rows] = np.arange(len(rows))
-        keep = new[self.row] >= 0
-        return _Sample(new[self.row[keep]], self.term[keep], self.terms, self.y[rows])
+        row, keep = _renumbered(self.row, rows, self.n)
+        return _Sample(row, self.term[keep], self.terms, self.y[rows])
 
     def only(self, terms: np.ndarray) -> _Sample:
-        new = np.full(self.terms, -1)
-        new[terms] = np.arange(len(terms))
-        keep = new[self.term] >= 0
-        return _Sample(self.row[keep], new[self.term[keep]], len(terms), self.y)
+        term, keep = _renumbered(self.term, terms, self.terms)
+        return _Sample(self.row[keep], term, len(terms), self.y)
 
     def linear(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.term], self.n)
@@ -184,9 +193,9 @@ def _batches(s: _Sample, size: int, rng: np.random.Generator) -> list[tuple[np.n
         rows = np.sort(order[a : a + size])
         n = np.diff(ends)[rows]
         at = np.repeat(ends[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        by_term = np.argsort(s.term[at], kind="stable")
+        by_term = np.argsort(s.term[at], kind="stable").astype(np.int32)
         terms, first = np.unique(s.term[at][by_term], return_index=True)
-        out.append((rows, np.repeat(np.arange(len(rows)), n), s.term[at], by_term, terms, first))
+        out.append((rows, np.repeat(np.arange(len(rows), dtype=np.int32), n), s.term[at], by_term, terms, first.astype(np.int32)))
     return out
 
 
@@ -222,8 +231,14 @@ def fit(rows: list[tuple[np.ndarray, int]], rate: float, seed: int = 7) -> Machi
     y = np.array([t for _, t in rows], float)
     if not rows or y.min() == y.max():
         return Machine(feature, -40.0 if not rows or not y.max() else 40.0, np.zeros(1), np.zeros((1, 1)))
-    bucket, term = np.unique(np.concatenate([b for b, _ in rows]), return_inverse=True)
-    whole = _Sample(np.repeat(np.arange(len(rows)), [len(b) for b, _ in rows]), term, len(bucket), y)
+    held = np.zeros(BUCKETS, bool)
+    for b, _ in rows:
+        held[b] = True
+    bucket = np.flatnonzero(held)
+    number = np.zeros(BUCKETS, np.int32)
+    number[bucket] = np.arange(len(bucket), dtype=np.int32)
+    term = np.concatenate([number[b] for b, _ in rows])
+    whole = _Sample(np.repeat(np.arange(len(rows), dtype=np.int32), [len(b) for b, _ in rows]), term, len(bucket), y)
 
     def selected(s: _Sample) -> tuple[np.ndarray, Parameters]:
         kept = np.flatnonzero(_sparse_weights(s, np.zeros(s.n))[0])

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quillstack.llm import ngram_join, packing, quality, suffix_dedup, textscan, token_store, word_tokens
+from quillstack.llm import ngram_join, packing, quality, suffix_dedup, textscan, token_store, toxicity, word_tokens
 from quillstack.llm.queries import tokenizer
 
 
@@ -87,3 +87,12 @@ def test_pieces_whose_keys_all_agree_keep_their_ids(monkeypatch):
     for _ in range(2):  # met for the first time, and again
         ids, _ends = enc.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
         assert ids.tolist() == enc.lib.encode(text, add_special_tokens=False).ids
+
+
+def test_toxicity_pairs_take_eight_bytes():
+    rows = np.repeat(np.arange(50), 40)
+    s = toxicity._Sample(rows, np.tile(np.arange(40), 50), 40, np.arange(50) % 2.0)
+    for part, pairs in ((s, 2000), (s.take(np.array([3, 7])), 80), (s.only(np.array([5, 39])), 100)):
+        assert len(part.row) == pairs and part.row.nbytes + part.term.nbytes == 8 * pairs
+    assert s.take(np.array([3, 7])).row.tolist() == [0] * 40 + [1] * 40
+    assert s.only(np.array([5, 39])).term.tolist() == [0, 1] * 50
