@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import organize, placing
-from ..operators.ranking import shared_dir
+from ..operators.ranking import shared_dir, written
 from ..session import workers_import
 from ..sources import library as L
 from ..sources import versions
@@ -18,10 +18,11 @@ from .registry import query
 
 
 def _books(spark, d):
-    part = L.table(workers_import(spark), d, "part").select("p_partkey", "p_name")
+    part = L.table(workers_import(spark), d, "part").select("p_partkey", "p_name").hint("merge")  # names are far larger in memory than in their file
     o = L.table(spark, d, "orders").select(F.col("o_custkey").alias("book"), "o_orderkey")
     w = Window.partitionBy("book").orderBy("o_orderkey", "l_linenumber", "l_partkey")
     lines = L.table(spark, d, "lineitem").select("l_partkey", "l_linenumber", F.col("l_orderkey").alias("o_orderkey")).join(o, "o_orderkey").withColumn("n", F.row_number().over(w) - 1)
+    lines = written(lines, "lines")
     name = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
     title = F.when(F.col("n") % 4 == 0, F.concat(F.lit("Chapter "), (F.col("l_partkey") % 9 + 1).cast("string"), F.lit(": "), "p_name")).when(F.col("n") % 4 == 1, F.concat("p_name", F.lit(" again"))).otherwise(F.col("p_name"))
     headings = name.select("book", F.floor(F.col("n") / 3).cast("int").alias("page"), (F.col("n") % 3).cast("int").alias("item"), title.alias("title"))
@@ -32,7 +33,7 @@ def _books(spark, d):
     k = F.col("entry")
     kind = F.when(k % 3 == 0, "chapter").when(k % 5 == 0, "part").otherwise("matter")
     entries = e.select("book", "entry", kind.alias("kind"), F.when(kind != "matter", k.cast("string")).alias("number"), F.col("p_name").alias("title"), F.when(k % 2 == 0, F.floor(F.col("n") / 3) + 1 + k % 3).cast("int").alias("printed"))
-    page = headings.select("book", "page").distinct()
+    page = written(lines.select("book", F.floor(F.col("n") / 3).cast("int").alias("page")).distinct(), "pages")
     pages = page.select("book", "page", (F.col("page") + 5 + F.floor(F.col("page") / 4)).cast("int").alias("number"), (F.col("page") > 0).alias("body"))
     return entries, headings.where("page > 0"), pages
 
@@ -91,7 +92,7 @@ def contents_elements(spark, d):
 
 def _orders(spark, d):
     """A customer's orders with the name of a part each, and his lineitems with theirs, both numbered."""
-    part = L.table(workers_import(spark), d, "part").select("p_partkey", "p_name")
+    part = L.table(workers_import(spark), d, "part").select("p_partkey", "p_name").hint("merge")  # names are far larger in memory than in their file
     o = L.table(spark, d, "orders").select(F.col("o_custkey").alias("book"), "o_orderkey")
     count = part.count()
     titled = o.join(part, F.col("p_partkey") == F.col("o_orderkey") % count)

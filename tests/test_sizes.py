@@ -1,7 +1,9 @@
 """What keeps a query's work in proportion to its tables."""
 
+from pyspark.sql import functions as F
+
 from quillstack import plans
-from quillstack.operators import catalog
+from quillstack.operators import catalog, ranking
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,3 +16,16 @@ def test_author_lists_are_made_once_a_group(spark):
     plan = plans.queries()["discover"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     lists = [line for line in plan.splitlines() if "collect_list" in line and "Aggregate [" in line]
     assert len(lists) == 1 and "book_id" not in lists[0] and "category_id" in lists[0]
+
+
+def test_written_tables_let_go_of_their_shuffles(spark, monkeypatch):
+    """After a table is written, the shuffle files behind it go, and joins with it don't trust its compressed size."""
+    small = ranking.written(spark.range(1000).select((F.col("id") % 3).alias("k"), F.lit("x" * 50).alias("name")).distinct(), "small")
+    plan = spark.range(1000).withColumn("k", F.col("id") % 3).join(small, "k")._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan
+    bound = spark.range(1000).withColumn("k", F.col("id") % 3).join(F.broadcast(small), "k")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in bound
+    calls = []
+    monkeypatch.setattr(ranking, "free_shuffles", calls.append)
+    ranking.written(spark.range(3), "three")
+    assert calls == [spark]
