@@ -29,3 +29,9 @@ def test_written_tables_let_go_of_their_shuffles(spark, monkeypatch):
     monkeypatch.setattr(ranking, "free_shuffles", calls.append)
     ranking.written(spark.range(3), "three")
     assert calls == [spark]
+
+
+def test_walks_carry_no_titles(spark):
+    plan = plans.queries()["breadcrumbs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    walk = [line for line in plan.splitlines() if "array_append" in line]
+    assert walk and not any("title" in line for line in walk)
