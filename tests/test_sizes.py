@@ -35,3 +35,9 @@ def test_walks_carry_no_titles(spark):
     plan = plans.queries()["breadcrumbs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     walk = [line for line in plan.splitlines() if "array_append" in line]
     assert walk and not any("title" in line for line in walk)
+
+
+def test_postings_move_texts_once(spark):
+    plan = plans.queries()["postings"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "term" in line]
+    assert not dealt
