@@ -7,6 +7,8 @@ the streamed cursor of ``placing``, and pages are cut where they lie.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,16 +76,17 @@ def folder_parts(name: Column) -> tuple[Column, Column]:
 
 def _wishes(chapters: DataFrame, folders: DataFrame) -> DataFrame:
     """book, number, rank (from 1), folder: the folders that a chapter would take, the best first: by title, then by number, each in the names' order."""
+    # Keys are made once: each of the joins below would make them again, for every place that names them.
     number, title = folder_parts(F.col("folder"))
-    f = folders.select("book", "folder", number.alias("_no"), letters_key(title).alias("k"), natural_key(F.col("folder")).alias("_order"))
-    c = chapters.select("book", "number", letters_key(F.col("title")).alias("t"))
+    f = written(folders.select("book", "folder", number.alias("_no"), title.alias("_t")).select("book", "folder", "_no", letters_key(F.col("_t")).alias("k")), "folders")
+    c = written(chapters.select("book", "number", letters_key(F.col("title")).alias("t")), "chapters")
     n = CHAPTER_PREFIX
     titled = c.where(F.length("t") >= n)
     long = titled.withColumn("_h", F.left("t", F.lit(n))).join(f.where(F.length("k") >= n).withColumn("_h", F.left("k", F.lit(n))), ["book", "_h"]).where(F.col("k").startswith(F.col("t")) | F.col("t").startswith(F.col("k")))
     short = titled.withColumn("k", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.left("t", i)))).join(f.where(F.length("k") < n), ["book", "k"])
-    numbered = c.join(f, (c["book"] == f["book"]) & (c["number"] == f["_no"])).select(c["book"], "number", "folder", "_order", F.lit(1).alias("_by"))
-    each = long.unionByName(short, allowMissingColumns=True).select("book", "number", "folder", "_order", F.lit(0).alias("_by")).unionByName(numbered)
-    once = each.groupBy("book", "number", "folder").agg(F.min("_by").alias("_by"), F.min("_order").alias("_order"))
+    numbered = c.join(f, (c["book"] == f["book"]) & (c["number"] == f["_no"])).select(c["book"], "number", "folder", F.lit(1).alias("_by"))
+    each = long.unionByName(short, allowMissingColumns=True).select("book", "number", "folder", F.lit(0).alias("_by")).unionByName(numbered)
+    once = each.groupBy("book", "number", "folder").agg(F.min("_by").alias("_by")).withColumn("_order", natural_key(F.col("folder")))
     return once.select("book", "number", "folder", F.row_number().over(Window.partitionBy("book", "number").orderBy("_by", "_order", "folder")).alias("rank"))
 
 
@@ -93,20 +96,24 @@ def match_folders(chapters: DataFrame, folders: DataFrame) -> DataFrame:
     chapters: book, number, title.  folders: book, folder (those to be split).
     The choice is found in rounds over all books: every chapter asks for its next
     folder, a folder keeps the lowest chapter that has asked, the others ask on.
-    When no one has to, each chapter has what it would have taken in turn.  A
+    When no one of a book has to, each of its chapters has what it would have
+    taken in turn, and the book is left out of what follows, with its wishes.  A
     round is a join and an aggregation, its outcome a written table; the rounds
     are as many as the longest run of refusals.
     """
     wishes = written(_wishes(chapters, folders), "wishes")
-    asked = wishes.select("book", "number").distinct().withColumn("rank", F.lit(1))
+    asked, settled = wishes.where("rank = 1").select("book", "number", "rank"), []
     while True:
-        held = asked.join(wishes, ["book", "number", "rank"])
+        held = asked.join(wishes, ["book", "number", "rank"]).repartition("book")
         least = F.min("number").over(Window.partitionBy("book", "folder"))
-        state = written(held.withColumn("kept", F.col("number") == least), "asked")
-        refused = state.where("not kept")
-        if refused.isEmpty():
-            return state.select("book", "number", "folder")
-        asked = state.select("book", "number", (F.col("rank") + F.when(F.col("kept"), 0).otherwise(1)).alias("rank"))
+        open_ = F.bool_or(~F.col("kept")).over(Window.partitionBy("book"))
+        state = written(held.withColumn("kept", F.col("number") == least).withColumn("open", open_), "asked")
+        settled.append(state.where("not open").select("book", "number", "folder"))
+        left = state.where("open")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+        wishes = written(wishes.join(left.select("book").distinct(), "book", "left_semi"), "wishes")
+        asked = left.select("book", "number", (F.col("rank") + F.when(F.col("kept"), 0).otherwise(1)).alias("rank"))
 
 
 def page_offset(pairs: DataFrame, pages: DataFrame) -> DataFrame:

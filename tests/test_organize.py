@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstack.operators import organize
+from quillstack.operators.ranking import written
 
 LIST = """# Table of Contents
 - **Preface** — xiii
@@ -68,6 +69,23 @@ def test_folders_are_chosen_in_turn(spark):
     assert [tuple(r) for r in parts.select(*organize.folder_parts(F.col("f"))).collect()] == [(3, "The_end"), (None, "Part"), (None, None), (12, "a")]
 
 
+def test_settled_books_leave_the_rounds(spark, monkeypatch):
+    rounds = []
+
+    def counted(df, tag):
+        out = written(df, tag)
+        if tag == "asked":
+            rounds.append(out.count())
+        return out
+
+    monkeypatch.setattr(organize, "written", counted)
+    chapters = [(0, n, "Same title") for n in range(1, 6)] + [(b, 1, "Threads") for b in range(1, 30)]
+    folders = [(0, f"{n:02d}_Same_title") for n in range(11, 16)] + [(b, "07_Threads") for b in range(1, 30)]
+    got = organize.match_folders(spark.createDataFrame(chapters, "book int, number int, title string"), spark.createDataFrame(folders, "book int, folder string")).collect()
+    assert {(r.book, r.number, r.folder) for r in got} == {(0, n, f"{n + 10}_Same_title") for n in range(1, 6)} | {(b, 1, "07_Threads") for b in range(1, 30)}
+    assert rounds == [34, 5, 5, 5, 5]
+
+
 def test_page_offset(spark):
     pairs = spark.createDataFrame([(1, 1, 1, "a"), (1, 2, 5, "b"), (1, 3, 9, "c"), (2, 1, None, "a"), (2, 2, 3, "b")], "book int, number int, page int, folder string")
     pages = spark.createDataFrame([(1, "a", 11), (1, "a", 12), (1, "b", 16), (1, "c", 20), (2, "a", 4), (2, "b", 3)], "book int, folder string, page int")
