@@ -73,3 +73,15 @@ def test_a_query_asks_the_scan_for_its_words(spark, root):
     plan = index.hits(spark, root, index.asked("cat -dog"), "a")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(word, [cat,dog]), IsNotNull(book), EqualTo(book,a)]" in plan or ("In(word, [cat,dog])" in plan and "EqualTo(book,a)" in plan)
     assert "Python" not in plan
+
+
+def test_words_are_sorted_where_their_lines_lie(spark, root, monkeypatch):
+    monkeypatch.setattr(index, "RUN_BYTES", 16, raising=False)
+    path = f"{root}-small"
+    index.build(spark, path, spark.createDataFrame(FIRST, SECTIONS))
+    rows = index.table(spark, path, "words").selectExpr("word", "input_file_name() AS f").collect()
+    assert len({r.f for r in rows if r.word == "the"}) > 1
+    for f in {r.f for r in rows}:
+        assert [r.word for r in rows if r.f == f] == sorted(r.word for r in rows if r.f == f)
+    for text in QUERIES:
+        assert got(spark, path, text) == told(FIRST, text), text
