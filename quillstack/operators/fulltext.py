@@ -1,8 +1,8 @@
 """Full-text search by an inverted index: analyser, postings, ranked match over postings alone, headlines.
 
 The index has one row for each term of each block, made inside the block's row
-without a shuffle.  Written once, sorted by term, it answers a query from the
-row groups of the query's own terms; texts are read again only for the rows that
+without a shuffle.  Written once, each file sorted by term, it answers a query
+from the row groups of the query's own terms; texts are read again only for the rows that
 are shown.
 """
 
@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from ..functions.stemming import STOP_WORDS, stem
 from .search import TERM, WebQuery
@@ -22,6 +24,8 @@ from .search import TERM, WebQuery
 START, END = "\u0002", "\u0003"
 #: Saturation and length weight of the rank (Okapi BM25).
 K1, B = 1.2, 0.75
+#: Places that a worker holds before it hands them on.
+PLACES = 1 << 17
 _WORD, _STOP = re.compile(TERM), frozenset(STOP_WORDS)
 
 
@@ -31,27 +35,47 @@ def analysed(text: str, stems: bool = True) -> list[tuple[str, int]]:
     return [(stem(w) if stems else w, i) for i, w in words if w not in _STOP]
 
 
-@cache
-def _posted(stems: bool):
-    @F.pandas_udf("array<struct<term: string, places: array<int>, length: int>>")
-    def posted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            out = []
-            for text in s:
+def _posted(keys: int, stems: bool):
+    """A row for each term of each text, in flat Arrow columns; the texts stand behind the keys."""
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, terms, ends, places, lengths = [], [], [0], [], []
+
+            def batch() -> pa.RecordBatch:
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))  # noqa: B023
+                own = [b.column(k).take(pa.array(rows, pa.int64())) for k in range(keys)]  # noqa: B023
+                out = pa.RecordBatch.from_arrays([*own, pa.array(terms, pa.string()), lists, pa.array(lengths, pa.int32())], [*b.schema.names[:keys], "term", "places", "length"])  # noqa: B023
+                for x in (rows, terms, places, lengths):  # noqa: B023
+                    x.clear()
+                ends[:] = [0]  # noqa: B023
+                return out
+
+            for r, text in enumerate(b.column(keys)):
                 at: dict[str, list[int]] = {}
-                for term, i in analysed(text or "", stems):
+                for term, i in analysed(text.as_py() or "", stems):
                     at.setdefault(term, []).append(i)
                 n = sum(map(len, at.values()))
-                out.append([{"term": t, "places": p, "length": n} for t, p in at.items()])
-            yield pd.Series(out, index=s.index)
+                for term, p in at.items():
+                    rows.append(r)
+                    terms.append(term)
+                    places += p
+                    ends.append(len(places))
+                    lengths.append(n)
+                if len(places) > PLACES:
+                    yield batch()
+            if rows:
+                yield batch()
 
-    return posted.asNondeterministic()  # or the filter that Spark puts before the explode would run it once more
+    return posted
 
 
 def index(blocks: DataFrame, keys: list[str], text: str = "line", stems: bool = True) -> DataFrame:
     """keys, term, tf, places, length (indexed words of the block): the inverted index. Null and empty texts have no row."""
-    each = blocks.select(*keys, F.explode(_posted(stems)(F.col(text))).alias("_t"))
-    return each.select(*keys, F.col("_t.term").alias("term"), F.size("_t.places").alias("tf"), F.col("_t.places").alias("places"), F.col("_t.length").alias("length"))
+    given = blocks.select(*keys, F.col(text).alias("_text"))
+    more = StructType().add("term", StringType()).add("places", ArrayType(IntegerType())).add("length", IntegerType())
+    each = given.mapInArrow(_posted(len(keys), stems), StructType([*given.schema.fields[:-1], *more.fields]))
+    return each.select(*keys, "term", F.size("places").alias("tf"), "places", "length")
 
 
 def statistics(index: DataFrame, keys: list[str]) -> tuple[int, float]:

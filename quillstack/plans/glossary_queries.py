@@ -8,7 +8,7 @@ from ..functions.stemming import STOP_WORDS
 from ..operators import fulltext as X
 from ..operators import glossary as G
 from ..operators import records
-from ..operators.ranking import written
+from ..operators.ranking import dealt, written
 from ..operators.search import parse_query
 from ..session import workers_import
 from ..sources import library as L
@@ -24,6 +24,12 @@ def _index(spark, d, stems=False):
     return X.index(L.blocks(L.sections(workers_import(spark), d)), _KEYS, stems=stems)
 
 
+def _kept(spark, d, stems):
+    """The written index: texts are dealt before they are split, terms sorted where they lie."""
+    lines = L.blocks(dealt(L.sections(workers_import(spark), d).select("id", "text"), "text", "id"))
+    return written(X.index(lines, _KEYS, stems=stems).sortWithinPartitions("term"), "index")
+
+
 @query(f"WITH {_WORDS} SELECT section_id, line_no, term, count(*) AS tf, string_agg(place, ' ' ORDER BY place) AS places FROM k GROUP BY ALL", "sections", "blocks")
 def index_postings(spark, d):
     """The index's rows, made without a shuffle."""
@@ -40,7 +46,7 @@ FROM m JOIN p USING (section_id, line_no) JOIN f USING (term) JOIN b USING (sect
 )
 def search_ranked(spark, d):
     """BM25 over the postings of the query's terms; no text is looked at."""
-    i = written(_index(spark, d).repartitionByRange("term").sortWithinPartitions("term"), "index")
+    i = _kept(spark, d, stems=False)
     n, mean = X.statistics(i, _KEYS)
     return X.search(i, _KEYS, parse_query("une or er -der"), n, mean, stems=False).select(*_KEYS, F.round("rank", 6).alias("rank"))
 
@@ -48,7 +54,7 @@ def search_ranked(spark, d):
 @query(None)
 def search_stemmed(spark, d):
     """The same with stems: tests hold it against a scan with the stemmer."""
-    i = written(_index(spark, d, stems=True).repartitionByRange("term").sortWithinPartitions("term"), "index")
+    i = _kept(spark, d, stems=True)
     n, mean = X.statistics(i, _KEYS)
     return X.search(i, _KEYS, parse_query('ered or thing -"of ered"'), n, mean).select(*_KEYS, F.round("rank", 6).alias("rank"))
 

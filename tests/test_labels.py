@@ -87,3 +87,14 @@ def test_editorial_state(spark):
 
     with pytest.raises(LookupError):
         C.by_key(old, "name", "none")
+
+
+def test_postings_are_flat_rows_handed_on_in_parts(spark):
+    long = " ".join(["fish", "sea", "sky"] * 50_000)
+    blocks = spark.createDataFrame([(1, "a", long), (2, "b", None), (3, "c", "fish ran and fish ran"), (4, "d", "")], "id long, k string, line string").coalesce(1)
+    i = fulltext.index(blocks, ["id", "k"], stems=False)
+    assert i.columns == ["id", "k", "term", "tf", "places", "length"]
+    plan = i._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    rows = {(r.id, r.k, r.term): (r.tf, r.places[:2], r.length) for r in i.collect()}
+    assert rows == {**{(1, "a", t): (50_000, [n, n + 3], 150_000) for n, t in enumerate(("fish", "sea", "sky"))}, (3, "c", "fish"): (2, [0, 3], 4), (3, "c", "ran"): (2, [1, 4], 4)}
