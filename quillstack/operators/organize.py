@@ -141,6 +141,7 @@ def locate(sections: DataFrame, headings: DataFrame) -> DataFrame:
     s = sections.select("book", "number", "place", "expected", letters_key(F.col("title")).alias("t"))
     whole = letters_key(F.concat_ws(" ", F.nullif("label", F.lit("")), "title"))
     h = headings.select("book", "number", "pos", "page", F.explode(F.array_distinct(F.array(letters_key(F.col("title")), whole))).alias("k"))
+    s, h = written(s, "sections"), written(h, "headings")  # each of the six joins below would make the keys again
     near = F.col("expected").isNull() | F.col("page").isNull() | (F.abs(F.col("page") - F.col("expected")) <= BAND)
     bin_ = lambda c: F.floor(c / (BAND + 1))
     # Sections with a page meet headings of the bins around it; the rest meet all of the title.

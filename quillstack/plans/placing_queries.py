@@ -135,6 +135,7 @@ walk(book, number, place, seen, pos) AS (SELECT DISTINCT book, number, 0::BIGINT
 SELECT book, number, place::INT AS place, pos FROM walk WHERE place > 0""")
 def sections_located(spark, d):
     o, lines = _orders(spark, d)
+    lines = written(lines.select("book", "o_orderkey", "n", "p_name"), "lines")
     number = F.col("o_orderkey") % 3
     first = lines.groupBy("o_orderkey").agg(F.min("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("book", "number").orderBy("o_orderkey"))
