@@ -7,27 +7,31 @@ otherwise the code stays as it was, with a reason.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import LANGUAGES
 from .markdown import blocks
 
-#: What a paragraph of each language shows: a pattern, and how often it must occur.
+#: What a paragraph of each language shows: a pattern, how often it must occur, and words of which every match holds one (in small letters where the pattern takes any).
 SIGNS = {
-    "sql": (r"(?i)\b(select\s.+\sfrom|insert\s+into|create\s+table|update\s.+\sset)\b", 1),
-    "rust": (r"\b(fn\s+\w+\s*\(|let\s+mut\b|impl\s+\w+|pub\s+(fn|struct|enum))", 1),
-    "java": (r"\b(public|private|protected)\s+(static\s+)?(class|void|int|String)\b|System\.out\.", 1),
-    "js": (r"\b(const|let|var)\s+\w+\s*=|=>|\bfunction\s*\w*\(|console\.log\(", 1),
-    "python": (r"(?m)^\s*(def\s+\w+\(.*\):|import\s+\w+|from\s+\w+\s+import\b|print\()", 1),
+    "sql": (r"(?i)\b(select\s.+\sfrom|insert\s+into|create\s+table|update\s.+\sset)\b", 1, ("select", "insert", "create", "update")),
+    "rust": (r"\b(fn\s+\w+\s*\(|let\s+mut\b|impl\s+\w+|pub\s+(fn|struct|enum))", 1, ("fn", "mut", "impl", "pub")),
+    "java": (r"\b(public|private|protected)\s+(static\s+)?(class|void|int|String)\b|System\.out\.", 1, ("public", "private", "protected", "System.out.")),
+    "js": (r"\b(const|let|var)\s+\w+\s*=|=>|\bfunction\s*\w*\(|console\.log\(", 1, ("const", "let", "var", "=>", "function", "console.log(")),
+    "python": (r"(?m)^\s*(def\s+\w+\(.*\):|import\s+\w+|from\s+\w+\s+import\b|print\()", 1, ("def", "import", "print(")),
 }
 
 
 def language(code: Column) -> Column:
-    """The first language whose signs the code shows, else null."""
+    """The first language whose signs the code shows, else null.  Code without a pattern's words is not searched for it, which takes longer."""
     out = None
-    for name, (pattern, least) in SIGNS.items():
-        hit = F.regexp_count(code, F.lit(pattern)) >= least
+    for name, (pattern, least, words) in SIGNS.items():
+        hit = code.rlike(pattern) if least == 1 else F.regexp_count(code, F.lit(pattern)) >= least
+        text = F.lower(code) if pattern.startswith("(?i)") else code
+        hit = reduce(Column.__or__, [text.contains(w) for w in words]) & hit
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out
 

@@ -177,7 +177,7 @@ def unmangle_modes(spark, d):
         .when(k == 1, F.concat(F.lit("const f = on(e => { a("), q, F.lit('); b({k: "'), c, F.lit('"}); });')))
         .when(k == 2, F.concat(F.lit("let a = "), q, F.lit("; // "), c)).otherwise(F.concat(F.lit('let s = "'), c))
     )
-    rows = L.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.trim(F.concat_ws(" ", "l_linestatus", "l_returnflag")).alias("c")).distinct().withColumn("code", code)
+    rows = L.table(workers_import(spark), d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.trim(F.concat_ws(" ", "l_linestatus", "l_returnflag")).alias("c")).distinct().withColumn("code", code)
     return listings.unmangle(rows).select("l_orderkey", "l_linenumber", "result", "skipped")
 
 

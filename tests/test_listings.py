@@ -54,3 +54,24 @@ def test_long_listing(spark):
     r = listings.unmangle(df).select("result", "skipped", listings.pieces(df.code, F.lit("js")).alias("p")).first()
     assert "".join(r.p) == text and r.skipped is None
     assert r.result.split("\n") == ["let a = 'x\\'y;';"] * 300 + ['"' + "z;" * 20000 + '";', "/* " + "c; " * 3000 + "*/ f(g(h(1;2)));"]
+
+
+def test_coarse_pieces(spark):
+    """White space of any kind may stand before a block's brace; doubts are seen beside other signs; what is in doubt is not laid out; blocks nest in values."""
+    codes = {
+        "const f = on(e =>\t{ a(); });": ("const f = on(e =>\t{\n    a();\n}\n);", None),
+        "let f = g({a: () => { x(); }, b: [1; 2]});": ("let f = g({a: () => {\n    x();\n}\n, b: [1; 2]});", None),
+        "let a = f(b)/c; g();": (None, "slash behind a bracket"),
+        "let a = b */c; g();": (None, "open comment"),
+        "let a = b; c()'d; e": (None, "open quote"),
+        "LET const x = 1; SELECT b; f();": ("LET const x = 1;\nSELECT b;\nf();", None),
+    }
+    df = spark.createDataFrame(list(enumerate(codes)), "id int, code string")
+    got = listings.unmangle(df).orderBy("id").collect()
+    assert [(r.result, r.skipped) for r in got] == [(laid or code, why) for code, (laid, why) in codes.items()]
+
+
+def test_layout_runs_once(spark):
+    """A listing's signs are not folded one by one in expressions, and one pass lays it out."""
+    plan = listings.unmangle(spark.createDataFrame([("let a = 1; f();",)], "code string"))._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and plan.count("laid(") <= 2
