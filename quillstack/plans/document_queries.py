@@ -13,12 +13,17 @@ from .registry import query
 
 def _pages(spark, d):
     """A page a document: its lines become headings, lists, quotes, fences, blanks and paragraphs in turn."""
-    doc = L.table(workers_import(spark), d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    k = F.pmod(F.col("i") + F.col("doc_id"), F.lit(7))
-    line = F.regexp_replace("line", r"[^a-zA-Z ,.]", "x")
-    made = F.when(k == 0, F.concat(F.lit("## "), line)).when(k == 1, F.concat(F.lit("- "), line)).when(k == 2, F.concat(F.lit("> "), line)).when(k == 3, F.concat(F.lit("```rust\n"), line, F.lit("\n\n```"))).when(k == 4, F.lit("")).otherwise(F.concat(F.lit("p "), line))
-    listed = F.array_sort(F.collect_list(F.struct("i", made.alias("m"))))
-    return doc.groupBy(F.col("doc_id").alias("page_id")).agg(F.array_join(F.transform(listed, lambda x: x["m"]), "\n").alias("source"))
+    def made(line, i):
+        k = F.pmod(i + F.col("doc_id"), F.lit(7))
+        return F.when(k == 0, F.concat(F.lit("## "), line)).when(k == 1, F.concat(F.lit("- "), line)).when(k == 2, F.concat(F.lit("> "), line)).when(k == 3, F.concat(F.lit("```rust\n"), line, F.lit("\n\n```"))).when(k == 4, F.lit("")).otherwise(F.concat(F.lit("p "), line))
+
+    return _made(L.table(workers_import(spark), d, "documents"), made)
+
+
+def _made(doc, made):
+    """A page a document, made of its lines where they lie; signs but letters, blanks, commas and dots are an x."""
+    lines = F.split(F.regexp_replace("text", "[^a-zA-Z ,.\n]", "x"), "\n")
+    return doc.select(F.col("doc_id").alias("page_id"), F.array_join(F.transform(lines, made), "\n").alias("source"))
 
 
 _PARTS = """WITH l AS (SELECT doc_id AS page_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
@@ -103,15 +108,15 @@ SELECT doc_id AS page_id, i * 2 AS sort_order, CASE i % 3 WHEN 0 THEN 'listItem[
   i * 20 + CASE i % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS start_line FROM c""")
 def nested_code(spark, d):
     """Each line as code in a list item, in a list inside a quote, or on its own; a page is a document, twenty lines to each."""
-    doc = L.table(workers_import(spark), d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    line, fence = F.regexp_replace("line", "[^a-zA-Z ,.]", "x"), F.lit("```")
-    item = F.concat(F.lit("- a\n  ```rust\n  "), line, F.lit("\n  ```"))
-    quote = F.concat(F.lit("> q\n>\n> - ```rust\n>   "), line, F.lit("\n>   ```"))
-    alone = F.concat(fence, F.lit("rust\n"), line, F.lit("\n"), fence)
-    made = F.when(F.col("i") % 3 == 0, item).when(F.col("i") % 3 == 1, quote).otherwise(alone)
-    padded = F.concat(made, F.repeat(F.lit("\n"), 19 - F.when(F.col("i") % 3 == 0, 3).when(F.col("i") % 3 == 1, 4).otherwise(2)), F.lit("---"))
-    listed = F.array_sort(F.collect_list(F.struct("i", padded.alias("m"))))
-    pages = doc.groupBy(F.col("doc_id").alias("page_id")).agg(F.array_join(F.transform(listed, lambda x: x["m"]), "\n").alias("source"))
+    fence = F.lit("```")
+
+    def made(line, i):
+        item = F.concat(F.lit("- a\n  ```rust\n  "), line, F.lit("\n  ```" + "\n" * 16 + "---"))
+        quote = F.concat(F.lit("> q\n>\n> - ```rust\n>   "), line, F.lit("\n>   ```" + "\n" * 15 + "---"))
+        alone = F.concat(fence, F.lit("rust\n"), line, F.lit("\n"), fence, F.lit("\n" * 17 + "---"))
+        return F.when(i % 3 == 0, item).when(i % 3 == 1, quote).otherwise(alone)
+
+    pages = _made(L.table(workers_import(spark), d, "documents"), made)
     return markdown.code_index(markdown.blocks(pages)).select("page_id", "sort_order", "path", "lang", F.md5(F.col("markdown").cast("binary")).alias("code_md5"), "start_line")
 
 
