@@ -336,3 +336,46 @@ def test_chat_repair(spark, chunk):
         assert re.fullmatch("s?(ua)+", "".join(x[0] for x in re.findall(r"<\|(\w+)\|>\n", text) if x != "end")) and text.endswith("<|end|>\n")
     assert out.sparkSession.createDataFrame([], "conv_id long, turn long, role string, text string").transform(chat_repair.repair).count() == 0
     assert chat_repair.rendered(out).count() == len(by)
+
+
+def test_ngram_join_shuffles_packed_keys_and_few_texts(spark, monkeypatch):
+    """Keys are neither written nor shuffled as rows, and a text that no other shares a key with stays where it is."""
+    saved, save = {}, ngram_join.scratch.save
+    monkeypatch.setattr(ngram_join.scratch, "save", lambda df, tag, *x: (saved.setdefault(tag, df), save(df, tag, *x))[1])
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(["w%d" % j for j in range(5000)], k=200))) for i in range(30)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(3)]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
+    assert not any(f.dataType.typeName() == "array" for df in saved.values() for f in df.schema.fields)
+    for df in (saved["members"], kept):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan and "strategy=broadcast" in plan
+
+
+def test_edges_of_packed_keys():
+    """Sets that meet in one task or in two are connected, each set counts a key once, and packing keeps every number."""
+    rng = np.random.default_rng(4)
+    key, sets = rng.integers(0, 400, 1500).astype(np.uint64) * np.uint64(1 << 55), rng.integers(-300, 300, 1500)
+    whole = ngram_join._meet(key, sets, np.zeros(1500, bool))[1]
+    halves = [ngram_join._meet(key[i::2], sets[i::2], np.zeros(750, bool)) for i in (0, 1)]
+    joined = ngram_join._meet(*(np.concatenate([h[0][c] for h in halves]) for c in range(3)))[1]
+
+    def parts(*edges):
+        up = {}
+        find = lambda x: x if up.setdefault(x, x) == x else find(up[x])
+        for a, b, _ in edges:
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                up[max(find(x), find(y))] = min(find(x), find(y))
+        return {x: find(x) for x in up}
+
+    assert parts(whole) == parts(*(h[1] for h in halves), joined)
+    held = {}
+    for k, s in zip(key.tolist(), sets.tolist(), strict=True):
+        held.setdefault(k, set()).add(s)
+    want = Counter(s for one in held.values() if len(one) > 1 for s in one)
+    a, b, n = whole
+    assert {x: m for x, y, m in zip(a.tolist(), b.tolist(), n.tolist(), strict=True) if x == y} == want
+    ids = np.unique(sets)
+    assert (ngram_join._unplaned(ngram_join._planes(ids), np.int64) == ids).all()
+    assert (ngram_join._unplaned(ngram_join._planes(np.sort(key)), np.uint64) == np.sort(key)).all()
