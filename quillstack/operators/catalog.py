@@ -37,10 +37,14 @@ def author_lists(books: DataFrame, authors: DataFrame) -> DataFrame:
 def shared_author_lists(books: DataFrame, authors: DataFrame, on: list[str]) -> DataFrame:
     """As ``author_lists``, for books that share their authors: a list is made once for all books that agree in ``on``.
 
-    authors: the columns ``on``, name.  Nulls in ``on`` share nothing.
+    authors: the columns ``on``, name.  Nulls in ``on`` share nothing.  Books that
+    share a list come one after the other, a large group in several partitions, so
+    that files with dictionaries hold a list once and not once a book.
     """
     names = authors.groupBy(*on).agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("_names"))
-    return books.join(names, on, "left").withColumn("author", F.coalesce("_names", "author")).drop("_names")
+    parts = int(books.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = books.repartitionByRange(parts, *on, "book_id").sortWithinPartitions(*on)
+    return grouped.join(names, on, "left").withColumn("author", F.coalesce("_names", "author")).drop("_names")
 
 
 def category_counts(categories: DataFrame, books: DataFrame) -> DataFrame:

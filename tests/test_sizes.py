@@ -18,6 +18,17 @@ def test_author_lists_are_made_once_a_group(spark):
     assert len(lists) == 1 and "book_id" not in lists[0] and "category_id" in lists[0]
 
 
+def test_books_of_a_list_come_together(spark, tmp_path):
+    """A list that is longer than a dictionary's share is written once a partition that has it, not once a book."""
+    books = spark.range(3000).select(F.col("id").alias("book_id"), (F.col("id") % 40).cast("string").alias("kind"), F.lit("x").alias("author"))
+    authors = spark.range(40 * 300).select((F.col("id") % 40).cast("string").alias("kind"), F.sha2(F.col("id").cast("string"), 512).alias("name"))
+    full = catalog.shared_author_lists(books, authors, ["kind"])
+    full.write.parquet(f"{tmp_path}/full")
+    got = spark.read.parquet(f"{tmp_path}/full").agg(F.count("*").alias("n"), F.sum(F.length("author")).alias("bytes")).first()
+    assert got.n == 3000 and got.bytes == 3000 * (300 * 128 + 299 * 2)
+    assert sum(f.stat().st_size for f in (tmp_path / "full").iterdir()) < 6 << 20
+
+
 def test_written_tables_let_go_of_their_shuffles(spark, monkeypatch):
     """After a table is written, the shuffle files behind it go, and joins with it don't trust its compressed size."""
     small = ranking.written(spark.range(1000).select((F.col("id") % 3).alias("k"), F.lit("x" * 50).alias("name")).distinct(), "small")
