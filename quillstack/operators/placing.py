@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import printed
 from ..functions.labels import role
 from ..functions.unicode import slugify
-from .contents import anchor_chain, match_strength, strength
+from .contents import anchor_chain, match_strength
 from .ranking import written
 
 #: Pages before and behind the predicted one that are searched.
@@ -40,16 +40,23 @@ def _number(pages: DataFrame) -> DataFrame:
     return pages.where("number is not null").groupBy("book", "number").agg(F.max("page").alias("_of"))
 
 
+def _beginnings(words: Column, labels: Column) -> Column:
+    """The keys that an entry and a heading that fits it share: a label, a short title, or the first six characters of one, with its rest."""
+    kind = "array<struct<key: string, rest: string>>"
+    none = F.lit(None).cast("string").alias("rest")
+    of = F.when(F.length(words) >= 6, F.array(F.struct(F.concat(F.lit("w"), F.left(words, F.lit(6))).alias("key"), F.substring(words, 7, 1 << 30).alias("rest"))))
+    of = of.when(words != "", F.array(F.struct(F.concat(F.lit("s"), words).alias("key"), none))).otherwise(F.array().cast(kind))
+    return F.explode(F.concat(F.transform(labels, lambda m: F.struct(F.concat(F.lit("m"), m).alias("key"), none)), of))
+
+
 def _candidates(entries: DataFrame, headings: DataFrame, on: list[str]) -> DataFrame:
-    """book, entry, pos, exact of every fitting heading, among rows that agree in ``on``."""
-    e = entries.select(*on, "entry", "number", F.col("words").alias("e"))
-    h = headings.select(*on, "pos", F.col("words").alias("h"), "marks")
-    fit = strength(F.col("e"), F.col("number"), F.col("h"), F.col("marks"))
-    marked = e.where("number is not null").withColumn("_m", F.lower("number")).join(h.withColumn("_m", F.explode("marks")), [*on, "_m"])
-    short = e.where("e <> '' and length(e) < 6").withColumn("_w", F.col("e")).join(h.withColumn("_w", F.col("h")), [*on, "_w"])
-    long = e.where("length(e) >= 6").withColumn("_w", F.left("e", F.lit(6))).join(h.where("length(h) >= 6").withColumn("_w", F.left("h", F.lit(6))), [*on, "_w"])
-    each = [x.select("book", "entry", "pos", fit.alias("fit")).where("fit > 0") for x in (marked, short, long)]
-    return each[0].unionByName(each[1]).unionByName(each[2]).groupBy("book", "entry", "pos").agg((F.max("fit") == 2).alias("exact"))
+    """book, entry, pos, exact of every fitting heading, among rows that agree in ``on``; fitting as ``contents.strength`` has it. Headings are shuffled once, without what the key tells."""
+    label = F.when(F.col("number").isNotNull(), F.array(F.lower("number"))).otherwise(F.array().cast("array<string>"))
+    e = entries.select(*on, "entry", _beginnings(F.col("words"), label).alias("_b")).select(*on, "entry", "_b.key", F.col("_b.rest").alias("e"))
+    h = headings.select(*on, "pos", _beginnings(F.col("words"), F.col("marks")).alias("_b")).select(*on, "pos", "_b.key", F.col("_b.rest").alias("h"))
+    exact = F.col("h").isNull() | (F.col("e") == F.col("h"))
+    found = e.join(h, [*on, "key"]).where(exact | F.col("e").startswith(F.col("h")) | F.col("h").startswith(F.col("e")))
+    return found.groupBy("book", "entry", "pos").agg(F.bool_or(exact).alias("exact"))
 
 
 def _exact(entries: DataFrame, headings: DataFrame) -> DataFrame:
@@ -143,7 +150,8 @@ def place_entries(entries: DataFrame, headings: DataFrame, pages: DataFrame) ->
     e = written(entries.where("book is not null and entry is not null").withColumn("words", printed.keys(F.col("title"))["words"]).select("book", "entry", "number", "printed", "words"), "entries")
     keyed = headings.where("book is not null and page is not null and item is not null").withColumn("_k", printed.keys(F.col("title")))
     h = written(keyed.select("book", "page", (F.col("page").cast("long") * ITEMS + F.col("item")).alias("pos"), F.col("_k.words").alias("words"), F.col("_k.marks").alias("marks")), "headings")
-    anchors = anchor_chain(_exact(e, h), "book", "entry", "pos")
+    exact = written(_exact(e, h), "exact")
+    anchors = anchor_chain(exact, "book", "entry", "pos")
     book = pages.groupBy("book").agg((F.max("page") + 1).alias("_pages"), F.max_by("number", "page").alias("_last"), F.coalesce(F.min(F.when(F.col("body"), F.col("page"))), F.max("page") + 1).alias("first"))
     order = Window.partitionBy("book").orderBy("entry")
     before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
@@ -158,12 +166,12 @@ def place_entries(entries: DataFrame, headings: DataFrame, pages: DataFrame) ->
     # Headings within the band of a predicted page, and headings between two anchors for the others.
     banded = known.where("predicted is not null").withColumn("page", F.explode(F.transform(F.sequence(F.lit(-BAND), F.lit(BAND)), lambda d: F.col("predicted") + d))).where("page <= limit")
     close = _candidates(banded, h, ["book", "page"])
-    spots = h.select("book", "pos").unionByName(h.select("book", (F.col("page").cast("long") * ITEMS - 1).alias("pos"))).distinct()
-    running = Window.partitionBy("book").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
-    passed = anchors.select("book", "pos", F.lit(1).alias("_a")).unionByName(spots.withColumn("_a", F.lit(0))).withColumn("_n", F.sum("_a").over(running)).where("_a = 0").select("book", "pos", "_n")
     # A heading lies behind _upto anchors, _low of them on earlier pages; stretches between anchors go on to the end of the next anchor's page.
-    low = passed.select("book", ((F.col("pos") + 1) / ITEMS).cast("long").alias("page"), F.col("_n").alias("_low")).where((F.col("pos") + 1) % ITEMS == 0)
-    between = h.join(passed.withColumnRenamed("_n", "_upto"), ["book", "pos"]).join(low, ["book", "page"]).withColumn("seg", F.explode(F.sequence("_low", "_upto")))
+    marked = anchors.select("book", F.floor(F.col("pos") / ITEMS).cast(h.schema["page"].dataType).alias("page"), "pos", F.lit(1).alias("_a"))
+    both = h.withColumn("_a", F.lit(0)).unionByName(marked, allowMissingColumns=True)
+    upto = F.sum("_a").over(Window.partitionBy("book").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0))
+    low = F.coalesce(F.sum("_a").over(Window.partitionBy("book").orderBy("page").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    between = both.withColumns({"_upto": upto, "_low": low}).where("_a = 0").withColumn("seg", F.explode(F.sequence("_low", "_upto")))
     loose = _candidates(known.where("predicted is null").select("book", "entry", "number", "words", "seg"), between, ["book", "seg"])
     cands = close.unionByName(loose)
     rows = known.select("book", "entry", F.lit(None).cast("long").alias("pos"), "anchor", "predicted", "limit", "first").unionByName(cands.select("book", "entry", "pos"), allowMissingColumns=True)
@@ -173,7 +181,7 @@ def place_entries(entries: DataFrame, headings: DataFrame, pages: DataFrame) ->
     beyond = F.col("expected") > F.col("_last")
     full = known.join(placed, ["book", "entry"], "left").select("book", "entry", "number", "words", "expected", "pos", "how", F.coalesce(beyond & F.col("pos").isNull(), F.lit(False)).alias("_beyond"))
     left = full.where("pos is null and not _beyond")
-    free = _exact(left, h).join(placed.where("pos is not null").select("book", "pos").distinct(), ["book", "pos"], "left_anti")
+    free = exact.join(left.select("book", "entry"), ["book", "entry"], "left_semi").join(placed.where("pos is not null").select("book", "pos").distinct(), ["book", "pos"], "left_anti")
     again = free.select("book", "entry", "pos").repartition("book").sortWithinPartitions("book", "entry", "pos").mapInArrow(_second, f"book {kinds['book']}, entry {kinds['entry']}, pos long")
     both = full.join(again.withColumnRenamed("pos", "_again"), ["book", "entry"], "left").withColumn("how", F.when(F.col("_again").isNotNull(), HOW[2]).otherwise(F.col("how"))).withColumn("pos", F.coalesce("pos", "_again"))
     problem = F.when(F.col("pos").isNull(), F.when(F.col("_beyond"), "beyond_source").otherwise("unplaced"))

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from quillstack.functions import printed
 from quillstack.operators import contents, placing
 
@@ -136,3 +138,16 @@ def test_a_book_with_most_rows_streams(spark):
     headings = [("big", k, 0, f"Chapter {k + 1}" if k % 2 else "else") for k in range(n)]
     got = placed(spark, entries, headings, [("big", k, k, True) for k in range(n)])
     assert sum(v[1] == "title" for v in got.values()) == n // 2 and got["big", 2][1] == "page"
+
+
+def test_candidates_fit_by_one_join(spark):
+    """As ``contents.strength`` says of every pair, with headings shuffled once."""
+    words = ["", "a", "abcde", "abcdef", "abcdefg", "abcdefgh i", "abcdeg", "éàüöñç", "éàüöñçx", "abcdef "]
+    e = spark.createDataFrame([(b, i, n, w) for b in (1, 2) for i, (w, n) in enumerate((w, n) for w in words for n in (None, "1", "IV"))], "book int, entry int, number string, words string")
+    h = spark.createDataFrame([(b, i, w, m) for b in (1, 3) for i, (w, m) in enumerate((w, m) for w in words for m in ([], ["1"], ["iv", "2"]))], "book int, pos int, words string, marks array<string>")
+    found = placing._candidates(e, h, ["book"])
+    fit = contents.strength(F.col("e.words"), F.col("number"), F.col("h.words"), F.col("marks"))
+    want = e.alias("e").join(h.alias("h"), F.col("e.book") == F.col("h.book")).select("e.book", "entry", "pos", fit.alias("fit")).where("fit > 0")
+    assert {tuple(r) for r in found.collect()} == {(r.book, r.entry, r.pos, r.fit == 2) for r in want.collect()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1
